@@ -9,6 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
+def op6_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .idstore import read_store, write_store
+
+    return read_store(write_store(table(spark, sf_dir, "documents"), "byte_bpe_50k.json"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
