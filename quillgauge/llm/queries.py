@@ -33,6 +33,12 @@ def op6_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(write_store(table(spark, sf_dir, "documents"), "byte_bpe_50k.json"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
