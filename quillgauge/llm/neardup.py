@@ -9,9 +9,9 @@ components.  The steps:
    (:mod:`shingles`); sorting by signature makes runs of sets that agree on a
    part.  A run of up to ``RUN`` sets gives its pairs; a longer one is tied to
    its smallest id, so rows stay linear in the run;
-3. sets around the same smallest id form a neighbourhood.  First each is held
-   against that smallest id, then, after the links found so far have been
-   contracted, sets of different components against each other, in blocks.
+3. first every row is held against its smallest id; then, after the links found
+   so far have been contracted, sets that are tied to the same id but lie in
+   different components are held against each other, in blocks.
    Two bit sketches whose Hamming distance exceeds the largest symmetric
    difference of a link rule the pair out; every other pair is verified on the
    whole shingle sets, recomputed from the texts;
@@ -90,8 +90,8 @@ def _emitter(seed: int):
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by signature and set: from each run its pairs, or ties to its first set.
 
-    Only the open run's first RUN + 1 sets are held, so a hot signature needs no more memory than another.
-    A row with a null signature reports a set whose sketch lacks parts.
+    ``tied`` marks rows of longer runs, whose other pairs are still open.  Only the
+    open run's first RUN + 1 sets are held, so a hot signature needs no more memory than another.
     """
     hold_sig, hold_sid = np.zeros(0, np.int64), np.zeros(0, np.int64)
     hub: tuple[int, int] | None = None  # signature and first set of an open run that is already long
@@ -101,12 +101,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.ones(len(sig), dtype=bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
         sig, sid = sig[fresh], sid[fresh]
-        a, b = [], []
+        a, b, tied = [], [], []
         if hub is not None and len(sig):
             k = int(np.searchsorted(sig, hub[0], side="right"))
             rest = sid[:k][sid[:k] != hub[1]]
             a.append(np.full(len(rest), hub[1], np.int64))
             b.append(rest)
+            tied.append(np.ones(len(rest), np.int64))
             if k < len(sig):
                 hub = None
             sig, sid = sig[k:], sid[k:]
@@ -126,17 +127,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for j in range(i + 1, c):
                         a.append(sid[at + i])
                         b.append(sid[at + j])
+                        tied.append(np.zeros(len(at), np.int64))
             long = size > RUN
             if long.any():
                 at, c = first[long], size[long]
                 a.append(np.repeat(sid[at], c - 1))
                 b.append(np.concatenate([sid[s + 1 : s + n] for s, n in zip(at, c, strict=True)]))
+                tied.append(np.ones(len(b[-1]), np.int64))
         else:
             hold_sig, hold_sid = sig, sid
         if a:
-            pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(tied)]), axis=1)
             if pair.shape[1]:
-                return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["hub", "sid"])
+                return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(pair[2] == 1)], names=["hub", "sid", "tied"])
         return None
 
     for batch in batches:
@@ -151,77 +154,60 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def neighbourhoods(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(hub, sid): every two linked sets occur together around at least one hub."""
+    """(hub, sid, tied): every two linked sets are a row, or are both tied to one hub."""
     emitted = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_emitter(seed), "sig long, sid long")
-    runs = emitted.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_runs, "hub long, sid long")
-    return written(runs.distinct(), "neighbourhoods")
+    runs = emitted.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_runs, "hub long, sid long, tied boolean")
+    return written(runs.groupBy("hub", "sid").agg(F.max("tied").alias("tied")), "neighbourhoods")
 
 
-def _sketch(own: bytes, low: bytes | None, n: int, level: int) -> np.ndarray:
-    return np.frombuffer(own if sh.band(n) == level else low, np.uint64)
+def _level(n):
+    """:func:`shingles.band` as a column."""
+    return F.when(n < sh.SMALL, F.lit(0)).otherwise(F.length(F.bin(F.floor(n / sh.SMALL))))
 
 
-def _against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a hub and one of its sets: the pairs that the sketches don't rule out."""
+def _unruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches don't rule out a link."""
     for batch in batches:
-        rows = batch.to_pydict()
-        keep = [
-            sh.band(min(n, m)) >= max(sh.band(max(n, m)) - 1, 0)
-            and sh.DEN * min(n, m) >= sh.NUM * max(n, m)
-            and bool(sh.may_link(n, _sketch(own, low, n, level := sh.band(min(n, m))), np.array([m]), _sketch(own2, low2, m, level)[None])[0])
-            for n, own, low, m, own2, low2 in zip(rows["hn"], rows["hown"], rows["hlow"], rows["n"], rows["own"], rows["low"], strict=True)
-        ]
+        c = batch.to_pydict()
+        keep = [bool(sh.may_link(n, np.frombuffer(x, np.uint64), np.array([m]), np.frombuffer(y, np.uint64)[None])[0]) for n, x, m, y in zip(c["na"], c["xa"], c["nb"], c["xb"], strict=True)]
         if any(keep):
-            yield batch.select(["hub", "sid"]).rename_columns(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, x, y), two blocks of a hub's sets: pairs of unlike components that the sketches don't rule out."""
+    """Rows sorted by (hub, level, x, y), two blocks of a hub's sets: pairs of unlike components that the sketches don't rule out."""
     key, held, told = None, [], set()
 
     def pairs() -> pa.RecordBatch | None:
         a, b = [], []
-        left = [r for r in held if r[0] == key[1]]
-        right = left if key[1] == key[2] else [r for r in held if r[0] == key[2]]
-        by_level: dict[int, list] = {}
-        for r in right:
-            level = sh.band(r[2])
-            by_level.setdefault(level, []).append((r, r[3]))
-            if r[4] is not None:
-                by_level.setdefault(sh.band(-(-r[2] * sh.NUM // sh.DEN)), []).append((r, r[4]))
-        for level, those in by_level.items():
-            n = np.array([r[2] for r, _ in those])
-            comp = np.array([r[5] for r, _ in those])
-            sid = np.array([r[1] for r, _ in those])
-            words = np.frombuffer(b"".join(x for _, x in those), np.uint64).reshape(len(those), -1)
-            own = np.array([sh.band(m) for m in n]) == level
-            for r in left:
-                at_home, below = sh.band(r[2]) == level, r[4] is not None and sh.band(-(-r[2] * sh.NUM // sh.DEN)) == level
-                if not at_home and not below:
-                    continue
-                mine = np.frombuffer(r[3] if at_home else r[4], np.uint64)
-                hit = sh.may_link(r[2], mine, n, words) & (comp != r[5])
-                hit &= own | at_home  # the smaller of the two has this band
+        left = [r for r in held if r[0] == key[2]]
+        right = left if key[2] == key[3] else [r for r in held if r[0] == key[3]]
+        if len(left) and len(right):
+            sid, n, comp, own = (np.array([r[i] for r in right]) for i in (1, 2, 3, 4))
+            words = np.frombuffer(b"".join(r[5] for r in right), np.uint64).reshape(len(right), -1)
+            for _, s, m, c, home, bits in left:
+                hit = sh.may_link(m, np.frombuffer(bits, np.uint64), n, words) & (comp != c)
+                hit &= own | home  # the smaller of the two has this level
                 if left is right:
-                    hit &= sid > r[1]
+                    hit &= sid > s
                 for other in sid[hit].tolist():
-                    pair = (min(r[1], other), max(r[1], other))
+                    pair = (min(s, other), max(s, other))
                     if pair not in told:
                         told.add(pair)
                         a.append(pair[0])
                         b.append(pair[1])
         if len(told) > 1_000_000:
-            told.clear()
+            told.clear()  # which only repeats rows
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
 
     for batch in batches:
         c = batch.to_pydict()
-        for hub, x, y, blk, sid, n, own, low, comp in zip(c["hub"], c["x"], c["y"], c["blk"], c["sid"], c["n"], c["own"], c["low"], c["comp"], strict=True):
-            if (hub, x, y) != key:
+        for *now, blk, sid, n, comp, own, bits in zip(*(c[k] for k in ("hub", "level", "x", "y", "blk", "sid", "n", "comp", "own", "bits")), strict=True):
+            if now != key:
                 if key is not None and len(held) > 1 and (out := pairs()) is not None:
                     yield out
-                key, held = (hub, x, y), []
-            held.append((blk, sid, n, own, low, comp))
+                key, held = now, []
+            held.append((blk, sid, n, comp, own, bits))
     if key is not None and len(held) > 1 and (out := pairs()) is not None:
         yield out
 
@@ -273,25 +259,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (columns doc_id and text)."""
     prof, seed = profiles(docs)
     around = neighbourhoods(docs, seed)
-    sets = prof.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("own").alias("own"), F.first("low").alias("low"))
-    hubs = sets.select(F.col("sid").alias("hub"), F.col("n").alias("hn"), F.col("own").alias("hown"), F.col("low").alias("hlow"))
-    first = around.join(sets, "sid").join(hubs, "hub").select("hub", "sid", "hn", "hown", "hlow", "n", "own", "low").mapInArrow(_against_hub, "a long, b long")
+    known = prof.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    sizes = known.groupBy("sid").agg(F.first("n_shingles").alias("n"))
+    # each set's sketch at its own level, and at the one below if it can meet a set there
+    level, below = _level(F.col("n_shingles")), _level(F.ceil(F.col("n_shingles") * sh.NUM / sh.DEN))
+    sketches = known.select("sid", level.alias("level"), F.lit(True).alias("own"), F.col("own").alias("bits")).union(known.where("low is not null").select("sid", below.alias("level"), F.lit(False), "low"))
+
+    def with_sketch(pairs: DataFrame, side: str) -> DataFrame:
+        """Adds ``x<side>``, the sketch of column ``side`` at the pair's level."""
+        ids = pairs.select(F.col(side).alias("sid"), "level").distinct()
+        own = sketches.join(ids, ["sid", "level"], "left_semi").groupBy("sid", "level").agg(F.first("bits").alias(f"x{side}"))
+        return pairs.join(own.withColumnRenamed("sid", side), [side, "level"])
+
+    pairs = around.select(F.col("hub").alias("a"), F.col("sid").alias("b"))
+    pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(sh.DEN * F.least("na", "nb") >= sh.NUM * F.greatest("na", "nb"))
+    pairs = written(pairs.withColumn("level", _level(F.least("na", "nb"))), "pairs")
+    first = with_sketch(with_sketch(pairs, "a"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_unruled, "a long, b long")
     links = verified(docs, prof, written(first, "candidates"))
     comp = components(links)
 
-    members = around.union(around.select("hub", F.col("hub").alias("sid")).distinct())
+    tied = around.where("tied").select("hub", "sid")
+    members = tied.union(tied.select("hub", F.col("hub").alias("sid")).distinct())
     members = members.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("hub", "sid", F.coalesce("root", "sid").alias("comp"))
+    members = members.join(sizes, "sid")
     open_ = members.groupBy("hub").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2 and size > 2")
     members = members.join(open_.select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb")), "hub")
     members = members.withColumn("blk", F.expr("cast(pmod(xxhash64(sid), nb) as int)"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"x": F.least("blk", "other"), "y": F.greatest("blk", "other")})
-    members = members.join(sets, "sid").select("hub", "x", "y", "blk", "sid", "n", "own", "low", "comp")
-    more = members.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(_blocks, "a long, b long").distinct()
-    more = written(more.join(first_tested(around), ["a", "b"], "left_anti"), "candidates")
+    members = members.join(sketches.groupBy("sid", "level").agg(F.first("own").alias("own"), F.first("bits").alias("bits")), "sid")
+    members = members.select("hub", "level", "x", "y", "blk", "sid", "n", "comp", "own", "bits")
+    more = members.repartition("hub", "level", "x", "y").sortWithinPartitions("hub", "level", "x", "y").mapInArrow(_blocks, "a long, b long").distinct()
+    more = written(more.join(around.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")), ["a", "b"], "left_anti"), "candidates")
     if not more.isEmpty():
         comp = components(links.union(verified(docs, prof, more)))
 
-    per_set = prof.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("sid").agg(F.min("doc_id").alias("least"))
+    per_set = known.groupBy("sid").agg(F.min("doc_id").alias("least"))
     per_set = per_set.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     least = per_set.groupBy("root").agg(F.min("least").alias("component_id"))
     label = written(per_set.join(least, "root").select("sid", "component_id"), "classes")
@@ -299,11 +301,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prof.join(label, "sid", "left").select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
 
 
-def first_tested(around: DataFrame) -> DataFrame:
-    """The pairs that have been held against each other through their hub."""
-    return around.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b"))
-
-
 def deduplicated(docs: DataFrame, near: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id; rows with a null id stay."""
     losers = near.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
