@@ -21,6 +21,12 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op3_rotated_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rabitq import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
