@@ -64,9 +64,37 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_tool_call_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import REPLY, dialogue, formatted
+
+    return formatted(dialogue(table(spark, sf_dir, "conversations")), {"reply": REPLY})
+
+
+OP10_SQL = """
+WITH ids AS (
+  SELECT conv_id, turn, role, text,
+         CASE WHEN role = 'user' THEN conv_id || ':' || turn WHEN role = 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id
+  FROM conversations),
+calls AS (SELECT conv_id, call_id, min(turn) AS call_turn FROM ids WHERE role = 'user' GROUP BY ALL),
+answers AS (SELECT DISTINCT conv_id, call_id FROM ids WHERE role = 'assistant')
+SELECT i.conv_id, i.turn,
+       CASE i.role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+       i.call_id,
+       CASE i.role WHEN 'user' THEN a.call_id IS NOT NULL AND i.turn = c.call_turn WHEN 'assistant' THEN c.call_id IS NOT NULL ELSE false END AS linked,
+       CASE WHEN i.role = 'user' THEN coalesce(length(i.text) BETWEEN 1 AND 4000, false) AND i.turn >= 0 END AS valid,
+       CASE i.role WHEN 'assistant' THEN greatest(i.turn, coalesce(c.call_turn, i.turn)) ELSE i.turn END AS order_turn,
+       CASE i.role WHEN 'assistant' THEN 1 ELSE 0 END AS order_kind,
+       CASE i.role
+         WHEN 'user' THEN '{"role":"assistant","tool_calls":[{"arguments":{"request":' || coalesce(to_json(i.text)::VARCHAR, 'null') || ',"turn":' || i.turn || '},"id":"' || i.call_id || '","name":"reply"}]}'
+         WHEN 'assistant' THEN '{"content":' || coalesce(to_json(i.text)::VARCHAR, 'null') || ',"role":"tool","tool_call_id":"' || i.call_id || '"}'
+         ELSE '{"content":' || coalesce(to_json(i.text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(i.role)::VARCHAR, 'null') || '}' END AS json
+FROM ids i LEFT JOIN calls c USING (conv_id, call_id) LEFT JOIN answers a USING (conv_id, call_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_tool_call_chat": OP10_SQL}
