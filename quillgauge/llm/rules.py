@@ -116,4 +116,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept_by_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    return judged(docs, log_ratios(bucket_counts(docs, labels))).where("kept").select("row.*")
+    rows = judged(docs, log_ratios(bucket_counts(docs, labels)))
+    # a column that the optimiser can't move keeps the filter above the counts, else it would work them out again for each word
+    return rows.select("row", "kept", F.monotonically_increasing_id().alias("fixed")).where("kept and fixed >= 0").select("row.*")
