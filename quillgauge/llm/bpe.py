@@ -17,6 +17,7 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -28,11 +29,11 @@ from .common import map_arrow, tokenizer_path
 
 REMEMBERED = 200_000
 #: Characters whose class differs between the Unicode versions of the libraries; a text with one is split by the library's own rules.
-_RARE = regex.compile(r"[՘֋֌࢏౜೜Ᲊ₏₝-₟Ɤ-ꟿ꭬꭭\U00010000-\U0001efff\U00020000-\U0010ffff]")
+RARE = regex.compile(r"[՘֋֌࢏౜೜Ᲊ₏₝-₟Ɤ-ꟿ꭬꭭\U00010000-\U0001efff\U00020000-\U0010ffff]")
 _GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -54,12 +55,15 @@ class Vocabulary:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         #: (left << 20 | right) -> (rank << 20 | joined)
         self.merges = {self.ids[a] << 20 | self.ids[b]: rank << 20 | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
-        letters = _byte_letters()
+        letters = byte_letters()
         self.first = [self.ids[x] for x in letters]
         self.final = [self.ids[x + self.suffix] for x in letters]
         self.lower = spec["normalizer"] is not None
         stages = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         self.pattern = regex.compile(next((s["pattern"]["Regex"] for s in stages if s["type"] == "Split"), _GPT2))
+        #: For ASCII texts the classes are plain ones, and the plainer module is faster.
+        plain = self.pattern.pattern.replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]").replace("\\p{L}\\p{N}", "A-Za-z0-9").replace("\\p{L}", "[A-Za-z]").replace("\\p{N}", "[0-9]")
+        self.ascii_pattern = re.compile(plain, re.ASCII)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.joined = " " if spec["decoder"] is None else ""
         self._library = None
@@ -75,15 +79,15 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings."""
-        if not text.isascii() and _RARE.search(text):
+        if not text.isascii() and RARE.search(text):
             t = self.library()
             if t.normalizer is not None:
                 text = t.normalizer.normalize_str(text)
             return [text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text)]
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower() if self.lower else text)
         if self.lower:
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each letter by itself: no final form
-            text = text.lower()
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each letter by itself: no final form
         return self.pattern.findall(text)
 
     def pieces(self, text: str):
@@ -165,7 +169,7 @@ class Vocabulary:
         text = self.joined.join(self.strings[i] for i in ids)
         if self.joined:
             return text
-        back = {x: b for b, x in enumerate(_byte_letters())}
+        back = {x: b for b, x in enumerate(byte_letters())}
         return b"".join(bytes([back[c]]) if c in back else c.encode() for c in text).decode("utf-8", "replace")
 
 
