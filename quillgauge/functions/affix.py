@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, tokens
+from .text import col
 
 
 @dataclasses.dataclass(frozen=True)
@@ -107,14 +107,16 @@ def keyword_keys(keyword: str | Column, affixes: Affixes = ARABIC) -> Column:
     )
 
 
-def count_matches(toks: str | Column, keyword: str | Column, affixes: Affixes = ARABIC) -> Column:
-    """struct(n, rule): how often a keyword of one or more tokens occurs among the tokens.
+def count_matches(toks: str | Column, keyword_tokens: str | Column, affixes: Affixes = ARABIC) -> Column:
+    """struct(n, rule): how often a keyword, given as its tokens, occurs among the tokens.
+
+    Both should be columns of a table, not expressions: lambdas would work those out again for each token.
 
     One token: all matching tokens, and the rule of the first.  Several: 1 if the
     exact sequence occurs anywhere, else 1 for the first place where its first or
     last token matches by affixes and the rest is equal; never more.
     """
-    toks, k = col(toks), tokens(keyword)
+    toks, k = col(toks), col(keyword_tokens)
     m, n = F.size(k), F.size(toks)
     rules = F.filter(F.transform(toks, lambda t: match_rule(t, F.get(k, F.lit(0)), affixes)), lambda r: r != "")
     starts = F.when(n >= m, F.sequence(F.lit(0), n - m)).otherwise(F.array().cast("array<int>"))

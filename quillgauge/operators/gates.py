@@ -88,10 +88,11 @@ def constraints(rows: DataFrame, clean: str = "clean_ar", error: str = "error_ar
         "__kn": norm("__k"), "__kd": norm("__k", True), "__ct": toks(clean), "__cd": toks(clean, True), "__et": toks(error), "__ed": toks(error, True),
         "__mn": F.when(F.col("__m") == OMITTED, OMITTED).otherwise(norm("__m")), "__md": norm("__m", True),
     })
-    x = x.withColumns({"__c0": count_matches("__ct", "__kn", affixes), "__c1": count_matches("__cd", "__kd", affixes)})
+    x = x.withColumns({f"{c}t": tokens(c) for c in ("__kn", "__kd", "__mn", "__md")})
+    x = x.withColumns({"__c0": count_matches("__ct", "__knt", affixes), "__c1": count_matches("__cd", "__kdt", affixes)})
     x = x.withColumn("__kr", (F.col("__c0.n") < 1) & (F.col("__c1.n") >= 1))
-    x = x.withColumns({"__c": F.when(F.col("__kr"), F.col("__c1")).otherwise(F.col("__c0")), "__kw": F.when(F.col("__kr"), F.col("__kd")).otherwise(F.col("__kn")), "__er": F.when(F.col("__kr"), F.col("__ed")).otherwise(F.col("__et"))})
-    x = x.withColumns({"__ke": count_matches("__er", "__kw", affixes), "__b0": count_matches("__er", "__mn", affixes), "__b1": count_matches("__ed", "__md", affixes)})
+    x = x.withColumns({"__c": F.when(F.col("__kr"), F.col("__c1")).otherwise(F.col("__c0")), "__kw": F.when(F.col("__kr"), F.col("__kd")).otherwise(F.col("__kn")), "__kwt": F.when(F.col("__kr"), F.col("__kdt")).otherwise(F.col("__knt")), "__er": F.when(F.col("__kr"), F.col("__ed")).otherwise(F.col("__et"))})
+    x = x.withColumns({"__ke": count_matches("__er", "__kwt", affixes), "__b0": count_matches("__er", "__mnt", affixes), "__b1": count_matches("__ed", "__mdt", affixes)})
     omission, omitted = F.col("__e").isin(*OMISSIONS), F.col("__mn") == OMITTED
     x = x.withColumn("__br", ~omission & ~omitted & (F.col("__b0.n") < 1) & (F.col("__b1.n") >= 1))
     n, e, b = F.col("__c.n"), F.col("__ke.n"), F.when(F.col("__br"), F.col("__b1.n")).otherwise(F.col("__b0.n"))
