@@ -171,7 +171,7 @@ def pivot_counts(rows: DataFrame, row: str, column: str, values: list[str], doma
     return domain.select(row).distinct().join(counts, row, "left").fillna(0, values)
 
 
-def rates(counts: DataFrame, part: str, whole: str) -> Column:
+def rates(part: str, whole: str) -> Column:
     return F.try_divide(F.col(part) * 100.0, F.col(whole))
 
 
