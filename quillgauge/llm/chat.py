@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import arrow_map, chunks
 
 EVENT = "conv_id long, turn long, kind string, role string, call_id string, name string, arguments string, content string"
 
@@ -104,7 +104,7 @@ def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parsed(messages: DataFrame) -> DataFrame:
     """Events of logged messages (conv_id, turn, role, text): ``{"tool_calls": [{"id", "name", "arguments"}]}`` and ``{"tool_call_id", "content"}``."""
     cols = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")]
-    return messages.select(*cols).mapInArrow(_events, EVENT)
+    return arrow_map(messages.select(*cols), _events, EVENT)
 
 
 def dialogue(messages: DataFrame) -> DataFrame:
@@ -163,4 +163,4 @@ def formatted(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             cols = {c: batch.column(c) for c in keep}
             yield pa.RecordBatch.from_arrays([*(cols[c] for c in keep[:5]), pa.array(fine, pa.bool_()), cols["order_turn"], cols["order_kind"], pa.array(text)], names=[*keep[:5], "valid", *keep[5:], "json"])
 
-    return linked(events).mapInArrow(run, "conv_id long, turn long, kind string, call_id string, linked boolean, valid boolean, order_turn long, order_kind int, json string")
+    return arrow_map(linked(events), run, "conv_id long, turn long, kind string, call_id string, linked boolean, valid boolean, order_turn long, order_kind int, json string")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at a time.
 CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to a worker; a single larger row still passes.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +56,28 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             at = end
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system: workers live on, and the next stage needs the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes and memory given back after each task."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
     """Maps slices of bounded text volume; ``fn`` gets a record batch and returns one."""
 
@@ -60,7 +87,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if out is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import RARE, byte_letters, vocabulary
-from .common import chunks, shared_dir, tokenizer_path, written
+from .common import arrow_map, chunks, shared_dir, tokenizer_path, written
 from .shingles import mix
 
 MAGIC = b"QGIDX1\n\x00"
@@ -246,7 +246,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
     run = _writer(folder, tokenizer_path(tokenizer, tokenizer_folder), end_id)
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.length("text"), F.xxhash64("text"))
-    manifest = written(dealt.sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text")).mapInArrow(run, MANIFEST), "manifest")
+    manifest = written(arrow_map(dealt.sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text")), run, MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -275,7 +275,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_store(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every row, each found by its key in its shard."""
-    return manifest.select("shard", "path", "start").repartition("shard").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(manifest.select("shard", "path", "start").repartition("shard"), _reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, key: int) -> list[np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import chunks, map_arrow, written
+from .common import arrow_map, chunks, map_arrow, written
 
 RUN = 8
 BLOCK = 1024
@@ -155,8 +155,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def neighbourhoods(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(hub, sid, tied): every two linked sets are a row, or are both tied to one hub."""
-    emitted = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_emitter(seed), "sig long, sid long")
-    runs = emitted.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_runs, "hub long, sid long, tied boolean")
+    emitted = arrow_map(docs.where(F.col("doc_id").isNotNull()).select("text"), _emitter(seed), "sig long, sid long")
+    runs = arrow_map(emitted.repartition("sig").sortWithinPartitions("sig", "sid"), _runs, "hub long, sid long, tied boolean")
     return written(runs.groupBy("hub", "sid").agg(F.max("tied").alias("tied")), "neighbourhoods")
 
 
@@ -231,7 +231,7 @@ def verified(docs: DataFrame, prof: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = map_arrow(docs.select("doc_id", "text").join(need.distinct(), "doc_id", "left_semi"), _set_bytes, "sid long, shingles binary")
     sets = written(sets.join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(_true_links, "a long, b long"), "links")
+    return written(arrow_map(both.select("a", "b", "sa", "sb"), _true_links, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = around.select(F.col("hub").alias("a"), F.col("sid").alias("b"))
     pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(sh.DEN * F.least("na", "nb") >= sh.NUM * F.greatest("na", "nb"))
     pairs = written(pairs.withColumn("level", _level(F.least("na", "nb"))), "pairs")
-    first = with_sketch(with_sketch(pairs, "a"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_unruled, "a long, b long")
+    first = arrow_map(with_sketch(with_sketch(pairs, "a"), "b").select("a", "b", "na", "nb", "xa", "xb"), _unruled, "a long, b long")
     links = verified(docs, prof, written(first, "candidates"))
     comp = components(links)
 
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = members.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"x": F.least("blk", "other"), "y": F.greatest("blk", "other")})
     members = members.join(sketches.groupBy("sid", "level").agg(F.first("own").alias("own"), F.first("bits").alias("bits")), "sid")
     members = members.select("hub", "level", "x", "y", "blk", "sid", "n", "comp", "own", "bits")
-    more = members.repartition("hub", "level", "x", "y").sortWithinPartitions("hub", "level", "x", "y").mapInArrow(_blocks, "a long, b long").distinct()
+    more = arrow_map(members.repartition("hub", "level", "x", "y").sortWithinPartitions("hub", "level", "x", "y"), _blocks, "a long, b long").distinct()
     more = written(more.join(around.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")), ["a", "b"], "left_anti"), "candidates")
     if not more.isEmpty():
         comp = components(links.union(verified(docs, prof, more)))

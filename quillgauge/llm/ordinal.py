@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow
+from .common import arrow_map, chunks, map_arrow
 
 BUCKETS = 1 << 18
 SAMPLE = 12_000
@@ -47,7 +47,9 @@ CLEAR, SEEN = 8.0, 5
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIM = ".,;:!?\"'()[]"
 _BANDS = 64
-REMEMBERED = 400_000
+#: What is known of a word without keys: it is marked, or it isn't.
+_NONE = ((True, ()), (False, ()))
+REMEMBERED = 100_000
 
 
 def _place(key: str) -> int:
@@ -75,7 +77,7 @@ class Words:
             keys += [_place("^" + bare[:k]) for k in BEGINNINGS if len(bare) > k]
             if self.live is not None:
                 keys = [k for k in keys if self.live[k]]
-            got = self.known[word] = (not bare.isalnum(), tuple(keys))
+            got = self.known[word] = (not bare.isalnum(), tuple(keys)) if keys else _NONE[bare.isalnum()]
         return got
 
     def features(self, text: str | None) -> list[int]:
@@ -126,15 +128,15 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in chunks(batches, "text"):
         f = [words.features(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("grade").cast(pa.int32()), pa.array([np.array(x, np.int32).tobytes() for x in f], pa.binary())], names=["grade", "f"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("grade").cast(pa.int32()), pa.array([np.array(x, np.int32).tobytes() for x in f], pa.binary())], names=["doc_id", "grade", "f"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and grades of at most ``sample`` labelled documents, in hash order of their ids."""
     chosen = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)  # ids may repeat
-    got = rows.select("text", "grade").mapInArrow(_sampled, "grade int, f binary").toArrow()
+    got = arrow_map(rows, _sampled, "doc_id long, grade int, f binary").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("f").alias("f"))
+    got = got.toArrow().sort_by("doc_id")
     return [np.frombuffer(x, np.int32) for x in got.column("f").to_pylist()], got.column("grade").to_numpy()
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, tokenizer_path, written
+from .common import arrow_map, chunks, tokenizer_path, written
 from .idstore import encoder
 
 WINDOW = 2048
@@ -132,8 +132,8 @@ def _packer(window: int):
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, tokenizer_folder: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset in its sequence."""
     run = _cutter(tokenizer_path(tokenizer, tokenizer_folder), end_id, window)
-    cut = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    cut = arrow_map(docs.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups))).repartition("grp").sortWithinPartitions("grp", F.desc("length"), "doc_id", "start", "row")
-    return dealt.select("grp", "doc_id", "start", "length", "ids_crc32", "doc_tokens").mapInArrow(_packer(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return arrow_map(dealt.select("grp", "doc_id", "start", "length", "ids_crc32", "doc_tokens"), _packer(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 EPSILON = 3.0
 SAMPLE = 20_000
 QUERIES = 16_384
@@ -160,7 +162,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                         qq, cc = q[a : a + (1 << 16)], c[a : a + (1 << 16)]
                         yield pa.RecordBatch.from_arrays([pa.array(qid[qq]), pa.array(best.ids[qq, cc]), pa.array(best.score[qq, cc])], names=["query_id", "vec_id", "score"])
 
-            parts.append(rows.mapInArrow(run, out))
+            parts.append(arrow_map(rows, run, out))
     if not parts:
         return empty
     found = parts[0]
