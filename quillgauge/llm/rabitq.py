@@ -110,7 +110,7 @@ def search_block(best: Best, qid: np.ndarray, qvec: np.ndarray, ids: np.ndarray,
         exact(np.repeat(part, near), top.ravel())
         est += np.outer(EPSILON * norm[part], error)
         np.put_along_axis(est, top, -np.inf, axis=1)
-        q, c = np.nonzero(est >= best.score[part, -1][:, None].astype(np.float32) - 1e-5)
+        q, c = np.nonzero((est > -np.inf) & (est >= best.score[part, -1][:, None].astype(np.float32) - 1e-5))  # the nearest are in already
         exact(part[q], c)
     return scored
 

@@ -84,8 +84,11 @@ def judged(docs: DataFrame, ratios: list[float], least: float = LEAST) -> DataFr
         return F.get(table, _bucket_of_word(a).cast("int")) + F.when(b.isNull(), F.lit(0.0)).otherwise(F.get(table, _bucket_of_pair(a, b).cast("int")))
 
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    triples = F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
-    total = F.aggregate(F.zip_with("w", F.slice("w", 2, F.greatest(n, F.lit(1))), gram), F.lit(0.0), lambda acc, x: acc + x)
+    # Lambdas refer to their arguments only.  The optimiser may put a column's expression in its place, and inside a
+    # lambda that would be worked out again for each element.
+    after = lambda k: F.slice("w", k + 1, F.greatest(n, F.lit(1)))
+    triples = F.when(n >= 4, F.slice(F.zip_with(F.zip_with("w", after(1), lambda a, b: F.xxhash64(a, b)), after(2), lambda h, c: F.xxhash64(h, c)), 1, F.greatest(n - 2, F.lit(0))))
+    total = F.aggregate(F.zip_with("w", after(1), gram), F.lit(0.0), lambda acc, x: acc + x)
     rows = rows.select(
         "row",
         n.cast("long").alias("n_words"),
@@ -101,8 +104,8 @@ def judged(docs: DataFrame, ratios: list[float], least: float = LEAST) -> DataFr
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(same, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("s"),
     )
-    twice = F.filter("s", lambda e, j: F.coalesce(e["h"] == F.get("s", j - 1)["h"], F.lit(False)) | F.coalesce(e["h"] == F.get("s", j + 1)["h"], F.lit(False)))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
+    both = F.zip_with("s", F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), lambda e, f: F.when(e["h"] == f["h"], F.array(*(x["i"] + k for x in (e, f) for k in range(3)))))
+    covered = F.size(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
     rows = rows.withColumn("n_repeat_words", F.when(F.col("s").isNull(), F.lit(0)).otherwise(covered).cast("long"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least)).select("row", *OUT)
