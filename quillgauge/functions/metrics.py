@@ -9,7 +9,8 @@ from .text import OMITTED, col, contains, remove_all, remove_first, strip, word_
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Within 0 and 1; null stays null, which ``greatest`` and ``least`` alone would skip."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def _empty(c: Column) -> Column:

@@ -115,7 +115,8 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, key: str = "sample_id", times:
     """Difference of macro-F1 of two models on the rows both have: p is the share of resamples in which a isn't better."""
     both = a.select(key, true, F.col(pred).alias("pred_a")).join(b.select(key, F.col(pred).alias("pred_b")), key)
     f1 = class_scores(resampled_cells(both, key, times, true, ("pred_a", "pred_b")), ("b", "model")).groupBy("b", "model").agg(F.avg("f1").alias("f1"))
-    delta = f1.groupBy("b").agg((F.max(F.when(F.col("model") == "pred_a", F.col("f1"))) - F.max(F.when(F.col("model") == "pred_b", F.col("f1")))).alias("d"))
+    # rounded, as the order of a sum must not decide which model is better
+    delta = f1.groupBy("b").agg(F.round(F.max(F.when(F.col("model") == "pred_a", F.col("f1"))) - F.max(F.when(F.col("model") == "pred_b", F.col("f1"))), 12).alias("d"))
     seen = summary(both.select(F.col(true).alias("t0"), "pred_a"), "t0", "pred_a").select(F.col("macro_f1").alias("macro_f1_a")).join(F.broadcast(summary(both.select(F.col(true).alias("t0"), "pred_b"), "t0", "pred_b").select(F.col("macro_f1").alias("macro_f1_b"))))
     p = 1 - F.count_if(F.col("d") > 0) / F.count("*")
     out = delta.agg(p.alias("p_value"), F.percentile("d", 0.025).alias("ci_lower"), F.percentile("d", 0.975).alias("ci_upper"), F.count("*").alias("resamples"))

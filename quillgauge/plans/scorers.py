@@ -46,10 +46,8 @@ def embed(rows: DataFrame, text: str, factory: Callable[[], Callable[[list[str]]
         encode = factory()
         for s in batches:
             known = s.notna()
-            out = pd.Series([None] * len(s), index=s.index, dtype=object)
-            if known.any():
-                out[known] = [list(map(float, v)) for v in encode(s[known].tolist())]
-            yield out
+            made = iter(encode(s[known].tolist()) if known.any() else [])
+            yield pd.Series([list(map(float, next(made))) if k else None for k in known], index=s.index, dtype=object)
 
     return rows.withColumn(name, vectors(text))
 

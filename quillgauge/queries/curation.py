@@ -120,7 +120,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () A
 w AS (SELECT b, ('0x' || substr(md5(b || '-' || r.i), 1, 8))::BIGINT % size AS i FROM r CROSS JOIN (SELECT unnest(range(-1, {TIMES})) AS b) WHERE b >= 0 UNION ALL SELECT -1, i FROM r),
 s AS (SELECT b, 'a' AS model, t, pa AS p FROM w JOIN r USING (i) UNION ALL SELECT b, 'b', t, pb FROM w JOIN r USING (i)),
 {_scores('b, model', 's')}, f AS (SELECT b, model, avg(f1) AS f1 FROM cls GROUP BY b, model), d AS (SELECT b, max(f1) FILTER (WHERE model = 'a') AS a, max(f1) FILTER (WHERE model = 'b') AS bb FROM f GROUP BY b),
-q AS (SELECT 1 - count(*) FILTER (WHERE a - bb > 0) / count(*)::DOUBLE AS pv, quantile_cont(a - bb, 0.025) AS lo, quantile_cont(a - bb, 0.975) AS hi, count(*) AS n FROM d WHERE b >= 0)
+q AS (SELECT 1 - count(*) FILTER (WHERE round(a - bb, 12) > 0) / count(*)::DOUBLE AS pv, quantile_cont(a - bb, 0.025) AS lo, quantile_cont(a - bb, 0.975) AS hi, count(*) AS n FROM d WHERE b >= 0)
 SELECT round(a, 6) AS macro_f1_a, round(bb, 6) AS macro_f1_b, round(a - bb, 6) AS delta_macro_f1, round(pv, 6) AS p_value, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper, pv < 0.05 AS significant, n AS resamples FROM d, q WHERE b = -1"""
 
 # P-values of ten model pairs, whose adjusted forms have been published.
