@@ -66,14 +66,14 @@ def extract_spans(rows: DataFrame, factory: Callable[[], Callable[[pd.DataFrame]
 
 
 def audit(candidates: DataFrame, factory: Callable[[], Callable[[list[str]], list[str]]] | None, least: float = 0.75) -> DataFrame:
-    """Adds the judge's scores, dqi, accepted and etca_skipped.
+    """Adds the judge's scores, dqi, accepted and audit_skipped.
 
     Without a judge every row is marked as skipped and not accepted.  Answers are
     read as the JSON between their first and last brace; what can't be read counts as 0.
     """
     if factory is None:
         empty = [F.lit(None).cast("int").alias(c.split()[0]) for c in SCORES.split(", ")[:-1]] + [F.lit(None).cast("string").alias("justification")]
-        return candidates.select("*", *empty, F.lit(0.0).alias("dqi"), F.lit(False).alias("accepted"), F.lit(True).alias("etca_skipped"))
+        return candidates.select("*", *empty, F.lit(0.0).alias("dqi"), F.lit(False).alias("accepted"), F.lit(True).alias("audit_skipped"))
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -85,7 +85,7 @@ def audit(candidates: DataFrame, factory: Callable[[], Callable[[list[str]], lis
     x = candidates.withColumn("__answer", ask(judge_message())).withColumn("__s", answer)
     fields = [f.split()[0] for f in SCORES.split(", ")]
     x = x.select(*candidates.columns, *(F.coalesce(F.col(f"__s.{c}"), F.lit(0)).alias(c) for c in fields[:-1]), F.col(f"__s.{fields[-1]}"))
-    return accepted(x, least).withColumn("etca_skipped", F.lit(False))
+    return accepted(x, least).withColumn("audit_skipped", F.lit(False))
 
 
 def rule_judge() -> Callable[[list[str]], list[str]]:

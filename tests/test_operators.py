@@ -207,8 +207,8 @@ def test_flow_and_scorers(spark, tmp_path):
     assert out.columns == files.empty_candidates(spark).columns and flow.distribution(out).first().n == 1
     assert flow.run(rows, pats, require_audit=True).count() == 0
     audited = scorers.audit(flow.candidates(rows, pats), scorers.rule_judge).first()
-    assert audited.phenomenon_clarity == 5 and audited.etca_skipped is False and 0 <= audited.dqi <= 1
-    assert scorers.audit(flow.candidates(rows, pats), None).first().etca_skipped
+    assert audited.phenomenon_clarity == 5 and audited.audit_skipped is False and 0 <= audited.dqi <= 1
+    assert scorers.audit(flow.candidates(rows, pats), None).first().audit_skipped
     spans = scorers.extract_spans(rows, lambda: lambda f: [(4, 10)] * len(f)).orderBy("source_en").collect()
     assert spans[0].span_text == "writer" and spans[1].span_start is None
     emb = scorers.embed(rows, "ar_ref", lambda: lambda ts: [[float(len(t))] for t in ts]).orderBy("source_en").collect()
