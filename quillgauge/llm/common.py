@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch on its way to a worker; a single larger row still passes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -76,7 +76,7 @@ def _emitter(seed: int):
                 i = sh.set_id(s)
                 if not len(s) or i in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(i)
                 sigs.append(sh.signatures(s, seed)[0])
@@ -196,7 +196,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         told.add(pair)
                         a.append(pair[0])
                         b.append(pair[1])
-        if len(told) > 1_000_000:
+        if len(told) > 200_000:
             told.clear()  # which only repeats rows
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
 
