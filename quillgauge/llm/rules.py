@@ -3,7 +3,9 @@
 Two multinomials over ``BUCKETS`` hash buckets (words in the lower half, pairs
 of neighbouring words in the upper) are counted with add-one smoothing: one
 over the trusted documents, those that the labels call good and not toxic, and
-one over the whole corpus.  A document's score is the sum of the bucket's
+one over the whole corpus.  Texts with the same words count once in both, however
+many copies the corpus holds, else a group of copies that is labelled less often
+than the rest would push itself below the cut.  A document's score is the sum of the bucket's
 log ratios over all its n-grams, divided by their number; a document that
 passes the base counts stays if its score is at least ``LEAST``.  Both counts
 and every score cover all documents and whole texts.  The ratios are a table of
@@ -12,8 +14,8 @@ and every score cover all documents and whole texts.  The ratios are a table of
 All work is in SQL functions.  Defined cases: a null text has no words; a text
 without words has score 0 and fails the base; an empty corpus gives an empty
 result; without trusted documents all ratios follow from the smoothing alone;
-a document with several label rows is trusted if all of them agree; repeated
-rows are judged each by itself; extra columns stay as they are.
+a document with several label rows is trusted if all of them agree, and so is a
+text with several labelled copies; repeated rows are judged each by itself; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -52,10 +54,24 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(good).alias("good")).where("good").select("doc_id")
 
 
+def _same_text(text: str) -> Column:
+    """One key for all texts with the same words in the same order."""
+    return F.sha2(F.array_join(words_of(text), " "), 256).alias("key")
+
+
+def trusted_keys(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Key of the texts that have labelled rows, all of them trusted, each once."""
+    good = trusted_ids(labels).withColumn("good", F.lit(True))
+    marked = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().join(good, "doc_id", "left")
+    rows = docs.select("doc_id", _same_text("text")).join(marked.hint("shuffle_hash"), "doc_id")
+    return rows.groupBy("key").agg(F.min(F.coalesce("good", F.lit(False))).alias("good")).where("good").select("key")
+
+
 def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, raw, target): n-grams of the corpus and of its trusted documents; at most BUCKETS rows."""
-    good = trusted_ids(labels).withColumn("target", F.lit(1)).hint("shuffle_hash")
-    rows = docs.select("doc_id", "text").join(good, "doc_id", "left").select(words_of("text").alias("w"), F.coalesce("target", F.lit(0)).alias("target"))
+    """(bucket, raw, target): n-grams of the corpus and of its trusted documents, copies once; at most BUCKETS rows."""
+    texts = docs.select(_same_text("text"), F.array_join(words_of("text"), " ").alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    rows = texts.join(trusted_keys(docs, labels).withColumn("target", F.lit(1)).hint("shuffle_hash"), "key", "left")
+    rows = rows.select(words_of("text").alias("w"), F.coalesce("target", F.lit(0)).alias("target"))
     pairs = rows.select("target", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b")))).toDF("target", "a", "b")
     grams = pairs.select("target", F.explode(F.array(_bucket_of_word(F.col("a")), F.when(F.col("b").isNotNull(), _bucket_of_pair(F.col("a"), F.col("b"))))).alias("bucket"))
     return grams.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))

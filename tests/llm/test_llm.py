@@ -345,6 +345,22 @@ def test_quality_rules_equal_brute_force(spark):
     assert rules.quality_rules(docs(spark, texts[:3]), labels.where("false")).count() == 3
 
 
+def test_copies_of_a_clean_text_do_not_push_it_below_the_cut(spark):
+    r = random.Random(12)
+    voc = vocabulary_of(12, 30)
+    texts = [" ".join(r.choice(voc) for _ in range(120)) for _ in range(300)]
+    clean = texts[299]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(250)], "doc_id long, quality int, toxic int")
+    alone = {x.doc_id: (x.score, x.kept) for x in rules.quality_rules(docs(spark, texts), labels).collect()}
+    assert alone[299][1]
+    hot = {x.doc_id: (x.score, x.kept) for x in rules.quality_rules(docs(spark, texts + [clean] * 100 + [clean.replace(" ", "\n")] * 100), labels).collect()}
+    assert all(hot[i] == alone[min(i, 299)] for i in hot)
+    # copies of a trusted text are trusted once; a copy that is labelled poor speaks against it
+    copies = docs(spark, ["a b", "a b", "c d", "c d", "e f"])
+    marks = spark.createDataFrame([(0, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(tuple(x)[1:] for x in rules.bucket_counts(copies, marks).collect()) == [(1, 0)] * 6 + [(1, 1)] * 3
+
+
 # --- classifier --------------------------------------------------------------------------------------------------
 
 
