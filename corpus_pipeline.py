@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Each stage takes what its predecessor kept and returns the columns of
-``documents``; the last returns one row for each packed piece.
+``documents``; the last returns one row for each packed piece, and with the
+first piece of each training sequence its ids.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgauge.llm.common import table, written
 from quillgauge.llm.neardup import deduplicated, near_duplicates
 from quillgauge.llm.ordinal import fit, selected
-from quillgauge.llm.packing import packed
+from quillgauge.llm.packing import pieces_with_sequences, sequences
 from quillgauge.llm.rules import kept_by_rules
 from quillgauge.llm.secrets import redacted
 
@@ -37,8 +38,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences; one row for each piece."""
-    return packed(docs, "byte_bpe_50k.json")
+    """Packs the documents into sequences; one row for each piece, the first of a sequence with the sequence's padded ids."""
+    return pieces_with_sequences(sequences(docs, "byte_bpe_50k.json"))
 
 
 STAGES = [

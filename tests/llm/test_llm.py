@@ -245,6 +245,30 @@ def test_packing_covers_every_token_once(spark):
     assert packing.packed(docs(spark, ["a"]).where("false"), "byte_bpe_50k.json").count() == 0
 
 
+def test_sequences_hold_every_token_and_padding(spark):
+    from tokenizers import Tokenizer
+
+    texts = fuzz(120) + ODD
+    df = docs(spark, texts).repartition(3)
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rebuilt = collections.defaultdict(dict)
+    rows = packing.sequences(df, "byte_bpe_50k.json", pad_id=7, window=64).collect()
+    for r in rows:
+        ids, at = np.frombuffer(r.ids, "<u2"), 0
+        assert len(ids) == 64 and set(ids[r.n_tokens :]) <= {7}
+        for p in r.pieces:
+            assert p.offset == at
+            rebuilt[p.doc_id][p.start] = ids[at : at + p.length].tolist()
+            at += p.length
+        assert at == r.n_tokens
+    for i, x in enumerate(texts):
+        assert [k for a in sorted(rebuilt[i]) for k in rebuilt[i][a]] == [*t.encode(x or "", add_special_tokens=False).ids, 1]
+    wide = packing.sequences(df, "byte_bpe_50k.json", pad_id=70_000, window=64).collect()
+    assert all(len(r.ids) == 256 and set(np.frombuffer(r.ids, "<u4")[r.n_tokens :]) <= {70_000} for r in wide)
+    flat = packing.pieces_with_sequences(packing.sequences(df, "byte_bpe_50k.json", window=64)).collect()
+    assert len(flat) == sum(len(r.pieces) for r in rows) and all((r.ids is not None) == (r.offset == 0) for r in flat)
+
+
 # --- secrets -----------------------------------------------------------------------------------------------------
 
 RULES = secrets.BASE + secrets.MORE
