@@ -93,7 +93,9 @@ def data_efficiency(spark, d):
 
 DATA_EFFICIENCY = FOLDS + " SELECT fold, round(macro_f1 / (n / 1000.0), 6) AS des FROM f"
 
-TIMES = 50
+# The operators' own numbers of resamples.
+TIMES = 1000
+PAIRED_TIMES = 10_000
 DRAWS = f"""r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS size FROM p),
 w AS (SELECT b, r.i AS j, ('0x' || substr(md5(b || '-' || r.i), 1, 8))::BIGINT % size AS i FROM r CROSS JOIN (SELECT unnest(range({TIMES})) AS b)),"""
 
@@ -110,14 +112,14 @@ SELECT count(*) AS resamples, round(avg(f1), 6) AS mean_f1, round(quantile_cont(
 def paired_bootstrap(spark, d):
     a = _preds(spark, d)
     b = a.withColumn("pred_label", F.when(F.pmod("doc_id", F.lit(3)) == 0, "0").otherwise("1"))
-    x = E.paired_bootstrap(a, b, "doc_id", TIMES)
+    x = E.paired_bootstrap(a, b, "doc_id", PAIRED_TIMES)
     return x.select(*_r("macro_f1_a", "macro_f1_b", "delta_macro_f1", "p_value", "ci_lower", "ci_upper"), "significant", "resamples")
 
 
 PAIRED_BOOTSTRAP = f"""
 WITH p0 AS (SELECT doc_id, quality::VARCHAR AS t, (1 - toxic)::VARCHAR AS pa, CASE WHEN doc_id % 3 = 0 THEN '0' ELSE '1' END AS pb FROM labels),
 r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS size FROM p0),
-w AS (SELECT b, ('0x' || substr(md5(b || '-' || r.i), 1, 8))::BIGINT % size AS i FROM r CROSS JOIN (SELECT unnest(range(-1, {TIMES})) AS b) WHERE b >= 0 UNION ALL SELECT -1, i FROM r),
+w AS (SELECT b, ('0x' || substr(md5(b || '-' || r.i), 1, 8))::BIGINT % size AS i FROM r CROSS JOIN (SELECT unnest(range(-1, {PAIRED_TIMES})) AS b) WHERE b >= 0 UNION ALL SELECT -1, i FROM r),
 s AS (SELECT b, 'a' AS model, t, pa AS p FROM w JOIN r USING (i) UNION ALL SELECT b, 'b', t, pb FROM w JOIN r USING (i)),
 {_scores('b, model', 's')}, f AS (SELECT b, model, avg(f1) AS f1 FROM cls GROUP BY b, model), d AS (SELECT b, max(f1) FILTER (WHERE model = 'a') AS a, max(f1) FILTER (WHERE model = 'b') AS bb FROM f GROUP BY b),
 q AS (SELECT 1 - count(*) FILTER (WHERE round(a - bb, 12) > 0) / count(*)::DOUBLE AS pv, quantile_cont(a - bb, 0.025) AS lo, quantile_cont(a - bb, 0.975) AS hi, count(*) AS n FROM d WHERE b >= 0)

@@ -149,6 +149,16 @@ def test_evaluation_against_loops(spark):
     assert same.delta_macro_f1 == 0 and same.p_value == 1.0 and not same.significant
 
 
+def test_registered_bootstraps_run_the_operators_resamples(spark, tmp_path):
+    from inspect import signature
+
+    from quillgauge.queries import curation
+
+    spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(12)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    for query, operator, times in ((curation.bootstrap_ci, evaluation.bootstrap_ci, 1000), (curation.paired_bootstrap, evaluation.paired_bootstrap, 10_000)):
+        assert query(spark, str(tmp_path)).first().resamples == times == signature(operator).parameters["times"].default
+
+
 def test_agreement_and_adjustment(spark):
     pairs = spark.createDataFrame([("q", "1", "1"), ("q", "1", "1"), ("r", "1", "0"), ("r", "0", "0"), ("r", "1", "1"), ("r", None, "1"), ("r", " ", "1")], "criterion string, a string, b string")
     got = {x.criterion: (x.n, x.ac1) for x in evaluation.gwet_ac1(pairs).collect()}
