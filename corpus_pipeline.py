@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base counts and the likelihood ratio over this corpus."""
-    return kept_by_rules(docs, table(spark, sf_dir, "labels"))
+    return kept_by_rules(docs, table(spark, sf_dir, "labels"), shrunk=True)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

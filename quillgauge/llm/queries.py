@@ -12,7 +12,7 @@ from .common import table
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), shrunk=True)
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

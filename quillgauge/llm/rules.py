@@ -7,13 +7,16 @@ one over the whole corpus.  Texts with the same words count once in both, howeve
 many copies the corpus holds, else a group of copies that is labelled less often
 than the rest would push itself below the cut.  A document's score is the sum of the bucket's
 log ratios over all its n-grams, divided by their number; a document that
-passes the base counts stays if its score is at least ``LEAST``.  Both counts
+passes the base counts stays if its score is at least ``LEAST``.  With ``shrunk``,
+as the query and the pipeline use it, a bucket's trusted count is compared with
+the count that its raw share lets expect, both raised by pseudo-counts, so that
+buckets with little evidence go to ratio 0 and few labels reject nothing.  Both counts
 and every score cover all documents and whole texts.  The ratios are a table of
 ``BUCKETS`` numbers at every scale, and the only thing that reaches the driver.
 
 All work is in SQL functions.  Defined cases: a null text has no words; a text
 without words has score 0 and fails the base; an empty corpus gives an empty
-result; without trusted documents all ratios follow from the smoothing alone;
+result; without trusted documents all ratios follow from the smoothing alone (shrunk: 0);
 a document with several label rows is trusted if all of them agree, and so is a
 text with several labelled copies; repeated rows are judged each by itself; extra columns stay as they are.
 """
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 BUCKETS = 8192
 #: Nats for each n-gram.
 LEAST = -0.04
+#: Pseudo-counts of the shrunk ratios: n-grams in each bucket, and n-grams in all, dealt by raw shares.
+EACH, SHARED = 8, 100_000
 GAPS = "[\\x20\\x09-\\x0D]+"
 HALF = BUCKETS // 2
 
@@ -77,7 +82,7 @@ def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return grams.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame) -> list[float]:
+def log_ratios(counts: DataFrame, shrunk: bool = False) -> list[float]:
     """The log ratio of every bucket, to six places."""
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for bucket, r, t in counts.collect():  # at most BUCKETS rows
@@ -85,6 +90,12 @@ def log_ratios(counts: DataFrame) -> list[float]:
     out = []
     for lo in (0, HALF):
         hi = lo + HALF
+        if shrunk:
+            trusted, whole = sum(target[lo:hi]), max(1, sum(raw[lo:hi]))
+            for i in range(lo, hi):
+                prior = EACH + SHARED * raw[i] / whole
+                out.append(round(math.log((target[i] + prior) / (trusted * raw[i] / whole + prior)), 6))
+            continue
         a, b = sum(target[lo:hi]) + HALF, sum(raw[lo:hi]) + HALF
         out += [round(math.log((target[i] + 1) / a) - math.log((raw[i] + 1) / b), 6) for i in range(lo, hi)]
     return out
@@ -127,14 +138,14 @@ def judged(docs: DataFrame, ratios: list[float], least: float = LEAST) -> DataFr
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least)).select("row", *OUT)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, shrunk: bool = False) -> DataFrame:
     """doc_id and the columns in ``OUT`` of every row of ``docs``."""
-    rows = judged(docs.select("doc_id", "text"), log_ratios(bucket_counts(docs, labels)))
+    rows = judged(docs.select("doc_id", "text"), log_ratios(bucket_counts(docs, labels), shrunk))
     return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 9).alias("score"))
 
 
-def kept_by_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def kept_by_rules(docs: DataFrame, labels: DataFrame, shrunk: bool = False) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    rows = judged(docs, log_ratios(bucket_counts(docs, labels)))
+    rows = judged(docs, log_ratios(bucket_counts(docs, labels), shrunk))
     # a column that the optimiser can't move keeps the filter above the counts, else it would work them out again for each word
     return rows.select("row", "kept", F.monotonically_increasing_id().alias("fixed")).where("kept and fixed >= 0").select("row.*")

@@ -385,6 +385,25 @@ def test_copies_of_a_clean_text_do_not_push_it_below_the_cut(spark):
     assert sorted(tuple(x)[1:] for x in rules.bucket_counts(copies, marks).collect()) == [(1, 0)] * 6 + [(1, 1)] * 3
 
 
+@pytest.mark.parametrize("n_trusted", [0, 20, 200])
+def test_few_labels_keep_clean_held_out_documents(spark, tmp_path, n_trusted):
+    import corpus_pipeline
+    from quillgauge.llm import queries
+
+    r = random.Random(13)
+    voc = vocabulary_of(13, 300)
+    texts = [" ".join(r.choice(voc) for _ in range(120)) for _ in range(400)] + [" ".join(r.choice(voc) + "&&&" for _ in range(120)) for _ in range(100)]
+    labels = [(i, 1, 0) for i in range(n_trusted)] + [(i, 0, 0) for i in range(400, 450)]
+    df = docs(spark, texts, extra=False)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = {x.doc_id: x for x in queries.op1_quality_rules(spark, str(tmp_path)).collect()}
+    assert all(rows[i].kept for i in range(400))
+    assert n_trusted or all(x.score == 0 for x in rows.values())
+    assert n_trusted < 200 or not any(rows[i].kept for i in range(400, 500))
+    assert {x.doc_id for x in corpus_pipeline.quality_rules(spark, df, str(tmp_path)).collect()} == {i for i, x in rows.items() if x.kept}
+
+
 # --- classifier --------------------------------------------------------------------------------------------------
 
 
