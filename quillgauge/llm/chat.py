@@ -7,7 +7,9 @@ and identifier.  Their dependencies (a result after its call, everything else
 by turn) form a graph of depth two, so its topological order is a sort key of
 each event, without gathering a conversation: ``order_turn`` (a result that
 was logged before its call moves to the call's turn), then ``order_kind`` (a
-call before its results), then ``turn``.  Arguments are validated against the
+call before its results), then ``turn``, then for logged messages ``position``
+(the text beside tool calls is a message of its own before them, and the calls
+of one message keep their order).  Arguments are validated against the
 function's schema, and every event is serialised as canonical JSON: sorted
 keys, no blanks, non-ASCII as it is.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, chunks
 
-EVENT = "conv_id long, turn long, kind string, role string, call_id string, name string, arguments string, content string"
+EVENT = "conv_id long, turn long, kind string, role string, call_id string, name string, arguments string, content string, position long"
 
 #: What a request of a plain dialogue must look like.
 REPLY = {
@@ -78,7 +80,7 @@ def valid(value, schema: dict) -> bool:
 
 
 def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), *((n, pa.string()) for n in ("kind", "role", "call_id", "name", "arguments", "content"))])
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), *((n, pa.string()) for n in ("kind", "role", "call_id", "name", "arguments", "content")), ("position", pa.int64())])
     for batch in chunks(batches, "text"):
         rows = []
         for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
@@ -90,14 +92,17 @@ def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     said = None
             calls = said.get("tool_calls") if isinstance(said, dict) else None
             if role == "assistant" and isinstance(calls, list) and calls and all(isinstance(c, dict) for c in calls):
-                for c in calls:
+                beside = said.get("content")
+                if beside is not None:
+                    rows.append((conv, turn, "message", role, None, None, None, beside if isinstance(beside, str) else canonical(beside), 0))
+                for k, c in enumerate(calls, 1):
                     name, args = c.get("name"), c.get("arguments")
-                    rows.append((conv, turn, "call", role, None if c.get("id") is None else str(c["id"]), None if name is None else str(name), args if isinstance(args, str) else json.dumps(args), None))
+                    rows.append((conv, turn, "call", role, None if c.get("id") is None else str(c["id"]), None if name is None else str(name), args if isinstance(args, str) else json.dumps(args), None, k))
             elif role == "tool" and isinstance(said, dict) and "tool_call_id" in said:
                 answer = said.get("content")
-                rows.append((conv, turn, "result", role, None if said["tool_call_id"] is None else str(said["tool_call_id"]), None, None, answer if isinstance(answer, str) or answer is None else canonical(answer)))
+                rows.append((conv, turn, "result", role, None if said["tool_call_id"] is None else str(said["tool_call_id"]), None, None, answer if isinstance(answer, str) or answer is None else canonical(answer), 0))
             else:
-                rows.append((conv, turn, "message", role, None, None, None, text))
+                rows.append((conv, turn, "message", role, None, None, None, text, 0))
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
 
@@ -138,7 +143,8 @@ def linked(events: DataFrame) -> DataFrame:
 
 
 def formatted(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """conv_id, turn, kind, call_id, linked, valid (null but for calls), order_turn, order_kind and canonical JSON of each event."""
+    """conv_id, turn, kind, call_id, linked, valid (null but for calls), order_turn, order_kind and canonical JSON of each event; position too if the events have it."""
+    place = ["position"] if "position" in events.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @functools.lru_cache(maxsize=1024)
@@ -161,6 +167,6 @@ def formatted(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 text.append(canonical(said))
             keep = ["conv_id", "turn", "kind", "call_id", "linked", "order_turn", "order_kind"]
             cols = {c: batch.column(c) for c in keep}
-            yield pa.RecordBatch.from_arrays([*(cols[c] for c in keep[:5]), pa.array(fine, pa.bool_()), cols["order_turn"], cols["order_kind"], pa.array(text)], names=[*keep[:5], "valid", *keep[5:], "json"])
+            yield pa.RecordBatch.from_arrays([*(cols[c] for c in keep[:5]), pa.array(fine, pa.bool_()), cols["order_turn"], cols["order_kind"], pa.array(text), *(batch.column(c) for c in place)], names=[*keep[:5], "valid", *keep[5:], "json", *place])
 
-    return arrow_map(linked(events), run, "conv_id long, turn long, kind string, call_id string, linked boolean, valid boolean, order_turn long, order_kind int, json string")
+    return arrow_map(linked(events), run, "conv_id long, turn long, kind string, call_id string, linked boolean, valid boolean, order_turn long, order_kind int, json string" + "".join(f", {c} long" for c in place))

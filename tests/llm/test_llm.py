@@ -506,6 +506,16 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert chat.formatted(chat.dialogue(df.where("false")), {}).count() == 0
 
 
+def test_text_beside_tool_calls_and_their_order_are_kept(spark):
+    call = {"content": "Let me look.", "tool_calls": [{"id": i, "name": "get", "arguments": {}} for i in ("z", "a", "m")]}
+    rows = [(1, 0, "user", "weather?"), (1, 1, "assistant", chat.canonical(call)), (1, 2, "tool", '{"tool_call_id": "a", "content": "warm"}')]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = sorted(chat.formatted(chat.parsed(df), {}).collect(), key=lambda r: (r.order_turn, r.order_kind, r.turn, r.position))
+    assert [(r.kind, r.call_id) for r in got] == [("message", None), ("message", None), ("call", "z"), ("call", "a"), ("call", "m"), ("result", "a")]
+    assert got[1].json == '{"content":"Let me look.","role":"assistant"}'
+    assert "position" not in chat.formatted(chat.dialogue(df), {}).columns
+
+
 @pytest.mark.parametrize("value, schema, ok", [
     (1.0, {"type": "integer"}, True), (True, {"type": "integer"}, False), ("ab", {"type": "string", "maxLength": 1}, False), ([1, "x"], {"items": {"type": "number"}}, False),
     ({"a": 1}, {"additionalProperties": False}, False), ({"a": 1}, {"additionalProperties": {"type": "string"}}, False), (5, {"enum": [4, 5]}, True), (None, {"type": ["null", "string"]}, True), (3, {"maximum": 2}, False),
