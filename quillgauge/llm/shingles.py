@@ -22,6 +22,7 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Sets below this size use one part per shingle; above, sizes double from band to band.
 SMALL = 64
+LEVEL_BITS = 5
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -151,6 +152,22 @@ def signatures(s: np.ndarray, seed: int = 0) -> tuple[np.ndarray, bool]:
     return out, lack
 
 
+def all_signatures(s: np.ndarray, seed: int = 0) -> list[tuple[int, int, np.ndarray]]:
+    """For each level of a set: the level, how many non-empty parts it has beyond the pigeonhole's, and the signatures of all.
+
+    The level stands in a signature's lowest ``LEVEL_BITS`` bits.
+    """
+    n = len(s)
+    h = np.sort(mix(s ^ _U(seed))) if seed else s
+    own, low = band(n), band(-(-n * NUM // DEN))
+    out = []
+    for level, need in ((own, (n + n * DEN // NUM) // 7 + 1), (low, (n + (SMALL << low) - 1) // 7 + 1)):
+        if not out or low < own:
+            sig, _ = _emit(h, level, n, seed)
+            out.append((level, len(sig) - need, (sig >> _U(LEVEL_BITS) << _U(LEVEL_BITS)) | _U(level)))
+    return out
+
+
 def lacks(s: np.ndarray, seed: int = 0) -> bool:
     """Whether a set has too few non-empty parts in a band, so that another seed is needed."""
     n = len(s)
@@ -178,6 +195,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def similar_to(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of several sorted sets reach the similarity with ``s``, by their whole contents."""
+    size = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    both = np.add.reduceat(s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every, np.cumsum(size) - size, dtype=np.int64)
+    return DEN * both >= NUM * (len(s) + size - both)
+
+
 def sketch_words(level: int) -> int:
     """64-bit words of the bit sketch that all sets of a band and the band above share."""
     return (SMALL << level) * 4 // 64

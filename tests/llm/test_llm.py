@@ -80,15 +80,51 @@ def near_texts(seed=1):
     return out
 
 
-@pytest.mark.parametrize("run", [8, 2])
-def test_near_duplicates_equal_brute_force(spark, run, monkeypatch):
-    monkeypatch.setattr(neardup, "RUN", run)
-    monkeypatch.setattr(neardup, "BLOCK", 5)
+@pytest.mark.parametrize("run, block", [(8, neardup.BLOCK_BYTES), (2, 4000), (2, 1 << 20)])
+def test_near_duplicates_equal_brute_force(spark, run, block):
     texts = near_texts()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts).repartition(3)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts).repartition(3), run, block).collect()}
     assert got == brute_components(list(enumerate(texts)))
 
 
+def border_texts(n, seed=4):
+    """Edited copies of one base, most pairs of which lie a little above or below the similarity."""
+    r = random.Random(seed)
+    voc = vocabulary_of(seed, 3000)
+    base = [r.choice(voc) for _ in range(120)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randrange(1, 7)):
+            w[r.randrange(len(w))] = r.choice(voc)
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK_BYTES, 20_000])
+def test_near_duplicates_in_a_dense_group(spark, block):
+    texts = border_texts(300)
+    want = brute_components(list(enumerate(texts)))
+    assert 1 < len({c for _, c in want.values()}) < 300
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts), 4, block).collect()}
+    assert got == want
+
+
+def test_steps_stay_linear_in_a_large_group_of_copies(spark, monkeypatch):
+    """Over 20,000 near copies: no step writes more than a few rows for each of them."""
+    texts = border_texts(20_500)
+    rows, plain = {}, neardup.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    n = neardup.near_duplicates(docs(spark, texts, extra=False).repartition(8)).where("component_id = 0").count()
+    assert n > 10_000 and max(rows.values()) < 8 * len(texts), rows
+
+
 def test_near_duplicates_of_odd_tables(spark):
     empty = neardup.near_duplicates(docs(spark, ["a"]).where("false"))
     assert empty.columns == ["doc_id", "n_shingles", "component_id"] and empty.count() == 0
