@@ -10,22 +10,23 @@ exactly verified links.  The steps:
    part.  A run of up to ``RUN`` sets gives its pairs; a longer one is tied to
    its smallest id, its hub, so rows stay linear in the run.  These pairs are
    verified and contracted;
-3. sets that share a hub but lie in different components are still open.  Most
-   of them only share a common passage.  They emit all their signatures, and a
-   signature that more than ``RUN`` of them have is hot.  Two linked sets differ
-   in at most ``d`` parts; if one of them has more than ``d`` parts that are not
-   hot, they agree on such a part, so the short runs give every pair but those
-   of two dense sets, which consist mostly of hot parts;
-4. dense sets, the members of large groups of near copies, are held against each
-   other in blocks bounded in bytes.  A block is a task's work in memory: it
-   verifies on whole sets and gives only links that join two components, at
-   most one fewer than its sets.  This step compares all dense sets of a hub
-   that hold several components: comparisons grow with their square, rows don't;
-5. links are contracted to components without leaving the executors.
-
-In steps 2 and 3 two bit sketches whose Hamming distance exceeds the largest
-symmetric difference of a link rule a pair out; every other pair is verified on
-the whole shingle sets, recomputed from the texts.
+3. sets that share a hub but lie in different components are still open; most
+   only have a common passage.  Up to ``GROUP`` sets of a hub are compared in a
+   task by their bit sketches, and those with a possible partner are marked;
+4. the sets of larger hubs emit all their signatures instead, and a signature
+   that more than ``RUN`` of them have is hot.  Two linked sets differ in at most
+   ``d`` parts; if one of them has more than ``d`` parts that are not hot, they
+   agree on such a part, so the short runs give every pair but those of two
+   dense sets, which consist mostly of hot parts; dense sets are marked;
+5. marked sets are held against each other in blocks bounded in bytes.  A block
+   is a task's work in memory: it verifies on whole sets and gives only links
+   that join two components, at most one fewer than its sets.  This step compares
+   all marked sets of a hub: comparisons grow with their square, rows don't;
+6. links are contracted to components without leaving the executors.
+
+Two bit sketches whose Hamming distance exceeds the largest symmetric difference
+of a link rule a pair out; every other pair is verified on the whole shingle
+sets, recomputed from the texts.
 
 Nulls, empty and wordless texts have no shingles and stay alone.  Rows with a
 null ``doc_id`` take no part (``component_id`` null).  Repeated rows fall into
@@ -46,7 +47,9 @@ from . import shingles as sh
 from .common import arrow_map, chunks, map_arrow, written
 
 RUN = 8
-#: Bytes of shingle sets in a block of dense sets; a larger set is a block of its own with those dealt to it.
+#: Sets of a hub, and bytes of their sketches, that a task compares; more go by their rarer signatures.
+GROUP, GROUP_BYTES = 8192, 16 << 20
+#: Bytes of shingle sets in a block of marked sets; a larger set is a block of its own with those dealt to it.
 BLOCK_BYTES = 8 << 20
 
 
@@ -258,6 +261,39 @@ def _spares(seed: int):
     return run
 
 
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (hub, level, n, sid): those that may be linked with one of another component, by their bit sketches."""
+    key, held = None, []
+
+    def marked() -> pa.RecordBatch | None:
+        if len(held) < 2:
+            return None
+        sid, n, comp, own = (np.array([r[i] for r in held]) for i in range(4))
+        words = np.ascontiguousarray(np.frombuffer(b"".join(r[4] for r in held), np.uint64).reshape(len(held), -1).T)
+        end = np.searchsorted(n, n * sh.DEN // sh.NUM, side="right")
+        out = np.zeros(len(held), dtype=bool)
+        for i in np.flatnonzero(own & (end > np.arange(1, len(held) + 1))):  # the smaller of a pair has this level
+            other = slice(i + 1, end[i])
+            hit = (np.bitwise_count(words[:, other] ^ words[:, i : i + 1]).sum(axis=0, dtype=np.int64) <= (n[i] + n[other]) // 7) & (comp[other] != comp[i])
+            if hit.any():
+                out[i] = True
+                out[other] |= hit
+        found = sid[out]
+        if not len(found):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key[0])), pa.array(np.full(len(found), key[1], np.int32)), pa.array(found)], names=["hub", "level", "sid"])
+
+    for batch in batches:
+        for *now, sid, n, comp, own, bits in zip(*(batch.column(c).to_pylist() for c in ("hub", "level", "sid", "n", "comp", "own", "bits")), strict=True):
+            if now != key:
+                if (out := marked()) is not None:
+                    yield out
+                key, held = now, []
+            held.append((sid, n, comp, own, bits))
+    if (out := marked()) is not None:
+        yield out
+
+
 class _Block:
     """Sets of one block: ids, sizes, components, whole contents and bit sketches at a level."""
 
@@ -288,7 +324,7 @@ def _joining(left: _Block, right: _Block) -> list[tuple[int, int]]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, level, x, y): links between the blocks x and y of a hub's dense sets, or within one if they are equal."""
+    """Rows sorted by (hub, level, x, y): links between the blocks x and y of a hub's sets, or within one if they are equal."""
     key, held = None, {}
 
     def links() -> pa.RecordBatch | None:
@@ -334,7 +370,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(arrow_map(both.select("a", "b", "sa", "sb"), _true_links, "a long, b long"), "links")
 
 
-def dense_links(members: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
+def joining_links(members: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     """Links that join components, among the sets (hub, level, sid, comp, shingles) that share hub and level; a written table.
 
     First each block by itself, then, for groups of several blocks that are still
@@ -380,10 +416,10 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
-def near_duplicates(docs: DataFrame, run: int = RUN, block: int = BLOCK_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, run: int = RUN, group: int = GROUP, block: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (columns doc_id and text).
 
-    ``run`` and ``block`` change the work, not the result.
+    ``run``, ``group`` and ``block`` change the work, not the result.
     """
     prof, seed = profiles(docs)
     around = neighbourhoods(docs, seed, run)
@@ -414,12 +450,22 @@ def near_duplicates(docs: DataFrame, run: int = RUN, block: int = BLOCK_BYTES) -
         return rows.join(comp.select(F.col("node").alias(column), F.col("root")), column, "left").withColumn(name, F.coalesce("root", column)).drop("root")
 
     tied = around.where("tied").select("hub", "sid")
-    tied = tied.union(tied.select("hub", F.col("hub").alias("sid")).distinct())
-    members = with_component(tied, "sid", "comp")
-    open_ = members.groupBy("hub").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2 and size > 2")
-    members = written(members.join(open_.select("hub"), "hub").select("hub", "sid"), "open")
-    if not members.isEmpty():
-        sets = set_table(docs, prof, members.select("sid").distinct())
+    tied = with_component(tied.union(tied.select("hub", F.col("hub").alias("sid")).distinct()), "sid", "comp")
+    apart = (F.min("comp") != F.max("comp")).alias("apart")
+    open_ = tied.groupBy("hub").agg(apart).where("apart").select("hub")
+    levels = F.explode(F.array_distinct(F.array(_level(F.col("n")), _level(F.ceil(F.col("n") * sh.NUM / sh.DEN)))))
+    members = tied.join(open_, "hub").join(sizes, "sid").withColumn("level", levels)
+    members = written(members.select("hub", "level", "sid", "n", "comp", (F.col("level") == _level(F.col("n"))).alias("own")), "open")
+    groups = members.groupBy("hub", "level").agg(apart, F.count("*").alias("size"), F.bool_or("own").alias("own")).where("apart and own")
+    large = (F.col("size") > group) | (F.col("size") * F.pow(F.lit(2), F.col("level")) * (sh.sketch_words(0) * 8) > GROUP_BYTES)
+    groups = groups.select("hub", "level", large.alias("large"))
+    members = members.join(groups, ["hub", "level"])
+    bits = sketches.groupBy("sid", "level").agg(F.first("bits").alias("bits"))
+    small = members.where("not large").join(bits, ["sid", "level"]).repartition("hub", "level").sortWithinPartitions("hub", "level", "n", "sid")
+    marked = written(arrow_map(small.select("hub", "level", "sid", "n", "comp", "own", "bits"), _with_partner, "hub long, level int, sid long"), "marked")
+    big = members.where("large").select("hub", "level", "sid")
+    if not big.isEmpty():
+        sets = set_table(docs, prof, big.select("sid").distinct())
         every = map_arrow(sets, _every_signature(seed), "sig long, sid long", "shingles")
         met = written(arrow_map(every.repartition("sig").sortWithinPartitions("sig", "sid"), _short_or_hot(run), "a long, b long, level int").groupBy("a", "b", "level").count(), "met")
         pairs = with_component(with_component(met.where("b is not null").select("a", "b"), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
@@ -427,10 +473,11 @@ def near_duplicates(docs: DataFrame, run: int = RUN, block: int = BLOCK_BYTES) -
         comp = components(links)
         hot = met.where("b is null").select(F.col("a").alias("sid"), "level", "count")
         spare = map_arrow(sets.join(hot.select("sid").distinct(), "sid", "left_semi"), _spares(seed), "sid long, level int, spare int", "shingles")
-        dense = written(hot.join(spare, ["sid", "level"]).where("count > spare").select("sid", "level"), "dense")
-        members = with_component(members.join(dense, "sid"), "sid", "comp")
-        apart = members.groupBy("hub", "level").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("hub", "level")
-        comp = components(links.union(dense_links(members.join(apart, ["hub", "level"]).join(sets, "sid"), block)))
+        dense = hot.join(spare, ["sid", "level"]).where("count > spare").select("sid", "level")
+        marked = written(marked.union(big.join(dense, ["sid", "level"]).select("hub", "level", "sid")), "marked")
+    if not marked.isEmpty():
+        sets = set_table(docs, prof, marked.select("sid").distinct())
+        comp = components(links.union(joining_links(with_component(marked, "sid", "comp").join(sets, "sid"), block)))
 
     per_set = known.groupBy("sid").agg(F.min("doc_id").alias("least"))
     per_set = per_set.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))

@@ -80,10 +80,10 @@ def near_texts(seed=1):
     return out
 
 
-@pytest.mark.parametrize("run, block", [(8, neardup.BLOCK_BYTES), (2, 4000), (2, 1 << 20)])
-def test_near_duplicates_equal_brute_force(spark, run, block):
+@pytest.mark.parametrize("run, group, block", [(8, neardup.GROUP, neardup.BLOCK_BYTES), (2, 5, 4000), (2, 20, 1 << 20)])
+def test_near_duplicates_equal_brute_force(spark, run, group, block):
     texts = near_texts()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts).repartition(3), run, block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts).repartition(3), run, group, block).collect()}
     assert got == brute_components(list(enumerate(texts)))
 
 
@@ -101,12 +101,12 @@ def border_texts(n, seed=4):
     return out
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK_BYTES, 20_000])
-def test_near_duplicates_in_a_dense_group(spark, block):
+@pytest.mark.parametrize("group, block", [(neardup.GROUP, neardup.BLOCK_BYTES), (10, 20_000)])
+def test_near_duplicates_in_a_dense_group(spark, group, block):
     texts = border_texts(300)
     want = brute_components(list(enumerate(texts)))
     assert 1 < len({c for _, c in want.values()}) < 300
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts), 4, block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts), 4, group, block).collect()}
     assert got == want
 
 
