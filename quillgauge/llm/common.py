@@ -25,16 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; in tests, without that setting, a new temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; on a local master without that setting, a new temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="quillgauge-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme, as Spark itself resolves it: a bare path lies on the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives lost executors.
+
+    Results are read from it lazily, so it stays; whoever names the folder clears it after the job.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
@@ -63,10 +75,19 @@ def _trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def _bytes(setting: str) -> float:
+    """A size such as 64m, 1g or 2097152b in bytes; -1 is unlimited."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", setting.lower()).groups()
+    return float("inf") if int(number) < 0 else int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit[:1]]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with batches bounded in bytes and memory given back after each task."""
+    """``mapInArrow`` with batches bounded in bytes and memory given back after each task.
+
+    Spark reads the bound when the plan runs, so a larger setting of the session is lowered for good.
+    """
     conf = df.sparkSession.conf
-    if int(re.sub(r"\D", "", conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) > BATCH_BYTES:
+    if _bytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

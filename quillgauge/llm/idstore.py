@@ -17,6 +17,12 @@ the payload.  The manifest (one row per shard) is itself a Parquet table; a
 task that is run again writes files under a new name, and only those of the
 task that the manifest names are ever read.  Rows with a null key come first,
 are counted in the header and are not reachable by key.
+
+A shard holds about ``SHARD_BYTES`` of text, counting ``ROW_BYTES`` more for each
+row, so keys and offsets of a shard fit a task at every scale; a longer text is
+a shard's work by itself.  A null text is an empty one: its only id is the end
+id.  Repeated rows lie side by side.  An empty table gives an empty manifest.
+Extra columns are ignored.  Shards stay in the folder until its owner clears it.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ import io
 import json
 import struct
 import uuid
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -36,13 +43,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import RARE, byte_letters, vocabulary
-from .common import arrow_map, chunks, shared_dir, tokenizer_path, written
+from .common import arrow_map, chunks, qualified, shared_dir, tokenizer_path, written
 from .shingles import mix
 
 MAGIC = b"QGIDX1\n\x00"
 GAMMA = 2
 #: One text in so many is encoded by both libraries.
 PROBE = 64
+#: Text of a shard; below it there are as many shards as shuffle partitions, of LEAST_BYTES or more.
+SHARD_BYTES, LEAST_BYTES, ROW_BYTES = 128 << 20, 8 << 20, 64
 _U = np.uint64
 
 
@@ -52,8 +61,11 @@ class LibraryEncoder:
     A byte-level vocabulary whose merges are numbered in order is also a table of
     ranks.  Tiktoken applies such a table several times faster, to the same ids.
     Texts with special strings or with characters that the libraries may class
-    differently go to tokenizers, so do all texts under any other vocabulary,
-    and every ``PROBE``-th text goes to both: a difference stops the job.
+    differently go to tokenizers, so do texts that tiktoken gives up on (very long
+    runs of white space) and all texts under any other vocabulary.  Every
+    ``PROBE``-th text goes to both; on a difference, which the tests rule out for
+    the installed versions, the rest of the worker's texts go to tokenizers and a
+    warning is given.
     """
 
     def __init__(self, path: str):
@@ -77,14 +89,21 @@ class LibraryEncoder:
                 out.append(None)
                 slow.append(i)
                 continue
-            out.append(self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes())
+            try:
+                out.append(self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes())
+            except ValueError:  # beyond the backtracking limit of its pattern
+                out.append(None)
+                slow.append(i)
+                continue
             self.seen += 1
             if self.seen % PROBE == 1:
                 slow.append(i)
         for i, e in zip(slow, self.library.encode_batch([texts[i] for i in slow], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4").tobytes()
             if out[i] is not None and out[i] != ids:
-                raise ValueError("tiktoken and tokenizers differ on a text")
+                warnings.warn("tiktoken and tokenizers differ on a text; going on with tokenizers", stacklevel=2)
+                self.fast = None
+                return self.encode(texts)
             out[i] = ids
         return out
 
@@ -241,11 +260,11 @@ def _writer(folder: str, path: str, end_id: int):
 def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, tokenizer_folder: str | None = None) -> DataFrame:
     """Writes shards in ascending ``doc_id`` order and returns the written manifest, with each shard's first position in the whole (start)."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    folder = qualified(spark, folder or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}")
     run = _writer(folder, tokenizer_path(tokenizer, tokenizer_folder), end_id)
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.length("text"), F.xxhash64("text"))
+    size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    shards = max(-(-size // SHARD_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES)), 1)
+    dealt = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id", F.length("text"), F.xxhash64("text"))
     manifest = written(arrow_map(dealt.sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text")), run, MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
