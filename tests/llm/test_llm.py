@@ -513,9 +513,40 @@ def test_codes_estimate_inner_products():
     r = np.random.default_rng(3)
     x, q = r.standard_normal((500, 64)).astype(np.float32), r.standard_normal((20, 64))
     centre, turn = x.mean(axis=0), rabitq.rotation(64)
-    est, error = rabitq.estimate(*rabitq.encode(x, centre, turn), 64, q, centre, turn)
-    miss = np.abs(est - q @ x.T) > rabitq.EPSILON * np.linalg.norm(q, axis=1)[:, None] * error[None]
-    assert miss.mean() < 0.02
+    words, length, along = rabitq.encode(x, centre, turn)
+    assert words.dtype == np.uint64 and words.shape == (500, 1)
+    est, error = rabitq.estimate(words, length, along, 64, q, centre, turn)
+    assert (np.abs(est - q @ x.T) > rabitq.EPSILON * error).mean() < 0.02
+    # the bit counts are the product of the rounded query with the signs
+    y = q.astype(np.float32) @ turn
+    low, step = y.min(axis=1, keepdims=True), np.ptp(y, axis=1, keepdims=True) / 15
+    sign = np.unpackbits(words.view(np.uint8), axis=1)[:, :64].astype(float) * 2 - 1
+    plain = (low + step * np.rint((y - low) / step)) @ sign.T * (length / along / 8) + (q @ centre)[:, None]
+    assert np.allclose(est, plain, atol=1e-3)
+
+
+@pytest.mark.parametrize("dim", [3, 64, 100])
+def test_bounds_spare_most_exact_scores(dim):
+    r = np.random.default_rng(dim)
+    middle = r.standard_normal((30, dim)) * 2
+    x = (middle[r.integers(0, 30, 20_000)] + r.standard_normal((20_000, dim)) * 0.5).astype(np.float32)
+    centre, turn, ids = x.mean(axis=0), rabitq.rotation(dim), np.arange(20_000)
+    q = np.arange(0, 20_000, 200)
+    best, scored = rabitq.Best(len(q), 20), 0
+    for a in range(0, len(x), 4096):
+        scored += rabitq.search_block(best, q, x[q].astype(float), ids[a : a + 4096], x[a : a + 4096], rabitq.encode(x[a : a + 4096], centre, turn), centre, turn)
+    exact = x[q].astype(float) @ x.T.astype(float)
+    exact[np.arange(len(q)), q] = -np.inf
+    want = np.argsort(-exact, axis=1, kind="stable")[:, :20]
+    recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best.ids.tolist(), want.tolist(), strict=True)])
+    assert recall >= 0.95
+    assert dim < 64 or scored < 0.5 * len(q) * len(x), scored / (len(q) * len(x))
+
+
+def test_search_takes_repeated_rows_each_by_itself(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (None, [5.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0])]
+    got = rabitq.nearest(spark.createDataFrame([(a, b, "x") for a, b in rows], "vec_id long, embedding array<float>, score string"))
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got.orderBy("rank").collect()] == [(0, 1, 1, 2.0), (0, 2, 1, 2.0), (0, 3, 2, 0.0)]
 
 
 # --- chat --------------------------------------------------------------------------------------------------------
