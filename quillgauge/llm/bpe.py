@@ -6,6 +6,11 @@ pair has changed meanwhile, joins the two symbols in the linked list and pushes
 the two new neighbours.  ``count`` needs no identifiers: it is the number of
 initial symbols minus the merges.  ``decode`` joins vocabulary strings.
 
+A null text is an empty one.  Rows are independent of each other: repeated rows
+repeat, an empty table gives an empty one, null ids stay, extra columns are
+ignored.  A word takes time about in proportion to its length, so very long texts
+and unbroken runs need no care.
+
 A vocabulary file is read once per process.  The words of a text repeat, so
 each worker remembers a bounded number of finished words; when the memory is
 full it starts anew, which changes no result.

@@ -42,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import shingles as sh
 from .common import arrow_map, chunks, map_arrow, written
@@ -416,8 +417,8 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
-def near_duplicates(docs: DataFrame, run: int = RUN, group: int = GROUP, block: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (columns doc_id and text).
+def labelled(docs: DataFrame, run: int = RUN, group: int = GROUP, block: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, sid, n_shingles and component_id of every row of ``docs`` (columns doc_id and text).
 
     ``run``, ``group`` and ``block`` change the work, not the result.
     """
@@ -484,10 +485,35 @@ def near_duplicates(docs: DataFrame, run: int = RUN, group: int = GROUP, block:
     least = per_set.groupBy("root").agg(F.min("least").alias("component_id"))
     label = written(per_set.join(least, "root").select("sid", "component_id"), "classes")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return prof.join(label, "sid", "left").select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
+    return prof.join(label, "sid", "left").select("doc_id", "sid", "n_shingles", own.cast("long").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, run: int = RUN, group: int = GROUP, block: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``."""
+    return labelled(docs, run, group, block).select("doc_id", "n_shingles", "component_id")
 
 
-def deduplicated(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id; rows with a null id stay."""
-    losers = near.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti")
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: one with the smallest id.
+
+    Rows without words and rows with a null id stay.  Where an id occurs several
+    times, each of its rows is judged by its own text.
+    """
+    rows = written(labelled(docs).where("doc_id is not null and n_shingles > 0"), "groups")
+    repeated = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    losers = rows.where("component_id != doc_id").select("doc_id")
+    if repeated.isEmpty():
+        return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    single = docs.join(repeated, "doc_id", "left_anti").join(losers, "doc_id", "left_anti").select(*docs.columns)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = sh.shingle_sets(batch.column("row").field("text").to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([sh.set_id(s) for s in sets], pa.int64())], names=["row", "sid"])
+
+    schema = StructType([StructField("row", docs.schema), StructField("sid", LongType())])
+    whole = docs.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+    whole = written(arrow_map(whole, lambda batches: map(run, batches), schema).withColumn("place", F.monotonically_increasing_id()), "rows")
+    whole = whole.join(rows.select("sid", "component_id").distinct(), "sid", "left")
+    first = whole.where("row.doc_id = component_id").groupBy("component_id").agg(F.min(F.struct("sid", "place")).alias("m")).select(F.col("m.place").alias("place"))
+    kept = whole.join(first, "place", "left_semi").unionByName(whole.where("component_id is null"))
+    return single.unionByName(kept.select("row.*"))

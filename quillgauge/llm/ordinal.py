@@ -17,7 +17,8 @@ its bucket parts two grades.  Scoring covers every row.
 Defined cases: a document with several label rows takes the lowest grade; rows
 with a null label or id are not learned from; without two grades to tell apart
 every document has the same score and stays; a null or wordless text has score
-0; repeated rows are scored each by itself; extra columns stay as they are.
+0; repeated rows are scored each by itself; an empty table gives an empty one; a
+very long text is one row of work; extra columns stay as they are.
 """
 
 from __future__ import annotations

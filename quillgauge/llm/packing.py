@@ -12,7 +12,9 @@ padding id, and the pieces they hold.  ``packed`` lists the pieces, with
 checksums taken from the sequences.
 
 A null text is an empty one: its only token is the end id.  Repeated rows are
-packed each by itself.
+packed each by itself.  Of pieces of one length the smaller id goes first, then
+the smaller start.  A very long text is encoded whole, as one row of work.  An
+empty table gives no sequences; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -58,6 +58,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades are derived from the two labels: 0 poor, 1 good but toxic, 2 good and clean."""
     from .ordinal import fit, graded
 
     docs = table(spark, sf_dir, "documents")
@@ -65,6 +66,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tool_call_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` has plain dialogues: each user turn is taken as a call of ``reply``, the assistant's next turn as its result."""
     from .chat import REPLY, dialogue, formatted
 
     return formatted(dialogue(table(spark, sf_dir, "conversations")), {"reply": REPLY})

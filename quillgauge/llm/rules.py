@@ -18,7 +18,8 @@ All work is in SQL functions.  Defined cases: a null text has no words; a text
 without words has score 0 and fails the base; an empty corpus gives an empty
 result; without trusted documents all ratios follow from the smoothing alone (shrunk: 0);
 a document with several label rows is trusted if all of them agree, and so is a
-text with several labelled copies; repeated rows are judged each by itself; extra columns stay as they are.
+text with several labelled copies; repeated rows are judged each by itself, a
+null id matches no label; a very long text is one row of work; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -144,8 +145,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, shrunk: bool = False) -> D
     return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 9).alias("score"))
 
 
-def kept_by_rules(docs: DataFrame, labels: DataFrame, shrunk: bool = False) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
-    rows = judged(docs, log_ratios(bucket_counts(docs, labels), shrunk))
+def kept_by_rules(docs: DataFrame, labels: DataFrame, shrunk: bool = False, corpus: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that the rules keep; both multinomials are counted over ``corpus``, if given."""
+    rows = judged(docs, log_ratios(bucket_counts(docs if corpus is None else corpus, labels), shrunk))
     # a column that the optimiser can't move keeps the filter above the counts, else it would work them out again for each word
     return rows.select("row", "kept", F.monotonically_increasing_id().alias("fixed")).where("kept and fixed >= 0").select("row.*")

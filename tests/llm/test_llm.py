@@ -131,10 +131,18 @@ def test_near_duplicates_of_odd_tables(spark):
     same = docs(spark, ["a b c d e f"] * 3 + ["", None], ids=[7, 7, 5, 3, None])
     rows = sorted(map(tuple, neardup.near_duplicates(same).collect()), key=str)
     assert rows == sorted([(7, 2, 5), (7, 2, 5), (5, 2, 5), (3, 0, 3), (None, 0, None)], key=str)
-    kept = neardup.deduplicated(same, neardup.near_duplicates(same))
+    kept = neardup.deduplicated(same)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "5", "None"] and kept.columns == same.columns
 
 
+def test_repeated_ids_are_judged_by_their_own_texts(spark):
+    one, two, three = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = docs(spark, [one, two, one, one, one, three, three, None, None], ids=[9, 9, 4, 4, 6, 2, 2, 7, 7])
+    kept = neardup.deduplicated(rows.repartition(3))
+    assert sorted((r.doc_id, str(r.text)) for r in kept.collect()) == [(2, three), (4, one), (7, "None"), (7, "None"), (9, two)] and kept.columns == rows.columns
+    assert neardup.deduplicated(rows.where("false")).count() == 0
+
+
 def test_signatures_meet_for_every_linked_pair():
     r = np.random.default_rng(5)
     for _ in range(400):
@@ -197,6 +205,64 @@ def test_token_counts_and_digests(spark):
 # --- id store ----------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_character_is_split_as_the_library_does(name):
+    """Guards RARE, which depends on the installed versions: all of the first plane and every seventh character beyond."""
+    points = [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x110000, 7)]
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}{chr(c)}b\t" for c in points[k : k + 40]) for k in range(0, len(points), 40)]
+    path = tokenizer_path(name)
+    v, encoder = bpe.vocabulary(path), idstore.LibraryEncoder(path)
+    want = [e.ids for e in v.library().encode_batch(texts, add_special_tokens=False)]
+    encoder.library = None  # so that nothing but the fast way is compared
+    for t, w in zip(texts, want, strict=True):
+        assert v.encode(t) == w and v.count(t) == len(w)
+        if encoder.fast is not None and not bpe.RARE.search(t):
+            assert encoder.fast.encode_to_numpy(t, disallowed_special=()).tolist() == w
+
+
+LONG = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "x" * 1_000_000, "word " * 200_000, "x" * 500_000 + " ://", "eyJ" * 300_000 + ".", "=" * 1_000_000]
+
+
+def test_very_long_runs(spark):
+    df = docs(spark, LONG).repartition(4)
+    library = bpe.vocabulary(tokenizer_path("byte_bpe_50k.json")).library()
+    want = {i: np.array(library.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(LONG)}
+    counts = {r.doc_id: r.n_tokens for r in bpe.token_counts(df, "byte_bpe_50k.json").collect()}
+    assert counts == {i: len(x) for i, x in want.items()}
+    stored = {r.doc_id: r.ids_crc32 for r in idstore.read_store(idstore.write_store(df, "byte_bpe_50k.json")).collect()}
+    assert stored == {i: zlib.crc32(np.append(x, 0).astype("<u4").tobytes()) for i, x in want.items()}
+    tokens = {r.doc_id: r.doc_tokens for r in packing.packed(df, "byte_bpe_50k.json").collect()}
+    assert tokens == {i: len(x) + 1 for i, x in want.items()}
+    assert bpe.round_trip_digests(df, "word_bpe_49k.json").where("n_tokens >= 0").count() == len(LONG)
+    assert secrets.scanned(df).where("spans = ''").count() == len(LONG)
+
+
+def test_rows_are_independent_and_tables_may_be_empty(spark):
+    texts = ["some words here", None, "token = abcdefghijklmnop", "some words here"]
+    df, none = docs(spark, texts, ids=[3, 1, 2, 3]), docs(spark, ["a"]).where("false")
+    for op in (lambda d: bpe.token_counts(d, "byte_bpe_50k.json"), lambda d: bpe.round_trip_digests(d, "word_bpe_49k.json"), lambda d: bpe.encoded(d, "byte_bpe_50k.json"), secrets.scanned, secrets.redacted, lambda d: idstore.read_store(idstore.write_store(d, "byte_bpe_50k.json")), lambda d: packing.packed(d, "byte_bpe_50k.json")):
+        got = op(df).collect()
+        same = [tuple(x for c, x in r.asDict().items() if c not in ("start", "offset", "sequence_id", "ids")) for r in got if r.doc_id == 3]
+        assert len(got) == 4 and len(same) == 2 and same[0] == same[1]
+        empty = op(none)
+        assert empty.count() == 0 and empty.columns == op(df).columns
+    assert secrets.redacted(df).columns == df.columns and {r.n_words for r in secrets.redacted(df).collect()} == {"clash"}
+
+
+def test_encoder_goes_on_with_the_library_on_a_difference():
+    encoder = idstore.LibraryEncoder(tokenizer_path("byte_bpe_50k.json"))
+    plain = encoder.encode(["some words", "more words"])
+
+    class Wrong:
+        def encode_to_numpy(self, *_, **__):
+            return np.array([1, 2])
+
+    encoder.fast, encoder.seen = Wrong(), 0
+    with pytest.warns(UserWarning):
+        assert encoder.encode(["some words", "more words"]) == plain
+    assert encoder.fast is None
+
+
 def test_perfect_hash_is_minimal_and_keeps_strangers_out():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000))
     h = idstore.PerfectHash.build(keys)
@@ -480,6 +546,63 @@ def test_classifier_on_held_out_rows(spark):
     assert [tuple(r) for r in ordinal.grades(odd).collect()] == [(2, 0)]
 
 
+def plain_features(text):
+    """The buckets of a text by loops over its words."""
+    words = WORD.findall((text or "").lower())
+    if not words:
+        return set()
+    bare = [w.strip(".,;:!?\"'()[]") for w in words]
+    count = collections.Counter()
+    for b in bare:
+        for key in [b] * bool(b) + ["^" + b[:k] for k in (4, 5, 6, 7) if len(b) > k]:
+            count[zlib.crc32(key.encode()) % ordinal.BUCKETS] += 1
+    marked = sum(not b.isalnum() for b in bare)
+    out = {int(15 * marked / len(words)), 16 + int(15 * (1 - len(set(words)) / len(words))), 32 + min(15, int(math.log2(len(words))))}
+    return out | {64 + (k + i * 65537) % (ordinal.BUCKETS - 64) for k, n in count.items() for i, least in enumerate((1, 2, 4, 8)) if n >= least}
+
+
+def test_classifier_equals_plain_features_and_likelihood(spark):
+    texts, labels = graded_corpus(300)
+    texts += ODD
+    for t in texts:
+        assert set(ordinal.Words().features(t)) == plain_features(t)
+    df, lab = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = ordinal.fit(df, lab)
+    for r in ordinal.graded(df, model).collect():
+        score = sum(model.weights[k] for k in plain_features(texts[r.doc_id]))
+        tails = [1 / (1 + math.exp(c - score)) for c in model.thresholds]
+        assert abs(r.score - score) < 1e-6 and abs(r.expected_grade - sum(tails)) < 1e-6 and r.selected == (tails[-1] >= 0.5)
+    grade = {d: 0 if q < 1 else 1 if x > 0 else 2 for d, q, x in labels}
+    rows, y = [plain_features(texts[d]) for d in grade], list(grade.values())
+    n = collections.Counter(y)
+
+    def loss(weights, cuts):
+        out = 0.0
+        for f, g in zip(rows, y, strict=True):
+            tail = [1.0, *(1 / (1 + math.exp(min(60, c - sum(weights.get(k, 0.0) for k in f)))) for c in cuts), 0.0]
+            out -= math.sqrt(len(y) / (3 * n[g])) / len(y) * math.log(max(tail[g] - tail[g + 1], 1e-12))
+        return out
+
+    weights = {int(k): model.weights[k] for k in np.flatnonzero(model.weights)}
+    at = loss(weights, model.thresholds)
+    assert at < 0.5 * loss({}, model.thresholds) and at < 0.2
+    rng = random.Random(2)
+    for _ in range(10):  # no other direction is much better
+        other = {k: w * (1 + rng.uniform(-0.3, 0.3)) for k, w in weights.items()}
+        assert loss(other, model.thresholds + rng.uniform(-0.2, 0.2)) > at - 0.01
+
+
+def test_classifier_on_repeated_rows_and_an_empty_table(spark):
+    texts, labels = graded_corpus(60)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = docs(spark, texts)
+    model = ordinal.fit(df.union(df), lab)
+    assert np.array_equal(model.weights, ordinal.fit(df, lab).weights)
+    assert collections.Counter(r.doc_id for r in ordinal.graded(df.union(df), model).collect()) == {i: 2 for i in range(len(texts))}
+    empty = ordinal.fit(df.where("false"), lab)
+    assert ordinal.graded(df.where("false"), empty).count() == 0 and ordinal.selected(df.where("false"), empty).columns == df.columns
+
+
 # --- nearest neighbours ------------------------------------------------------------------------------------------
 
 
@@ -588,7 +711,48 @@ def test_text_beside_tool_calls_and_their_order_are_kept(spark):
     ({"a": 1}, {"additionalProperties": False}, False), ({"a": 1}, {"additionalProperties": {"type": "string"}}, False), (5, {"enum": [4, 5]}, True), (None, {"type": ["null", "string"]}, True), (3, {"maximum": 2}, False),
 ])
 def test_schema(value, schema, ok):
-    assert chat.valid(value, schema) is ok
+    assert chat.valid(value, chat.checked(schema)) is ok
+
+
+def test_schemas_with_unknown_keywords_are_refused(spark):
+    for schema in ({"pattern": "a"}, {"properties": {"a": {"anyOf": []}}}, {"type": "date"}):
+        with pytest.raises(ValueError):
+            chat.formatted(chat.dialogue(spark.createDataFrame([(1, 1, "user", "x")], "conv_id long, turn long, role string, text string")), {"f": schema})
+    assert not chat.valid(True, {"enum": [1]}) and not chat.valid([1], {"const": [True]}) and chat.valid({"a": 1.0}, {"const": {"a": 1}})
+
+
+def _log(conv, *messages):
+    return [(conv, turn, role, text if isinstance(text, str) else chat.json.dumps(text)) for turn, role, text in messages]
+
+
+def test_calls_follow_the_results_they_name(spark):
+    call = lambda i, *needs: {"tool_calls": [{"id": i, "name": "f", "arguments": {"x": [f"${{{n}}}" for n in needs]}}]}
+    rows = _log(1, (0, "assistant", call("c", "b", "zz")), (1, "assistant", call("b", "a")), (2, "tool", {"tool_call_id": "b", "content": "2"}), (5, "assistant", call("a")), (7, "tool", {"tool_call_id": "a", "content": "1"}), (8, "tool", {"tool_call_id": "c", "content": "3"}), (9, "user", "thanks"))
+    rows += _log(2, (0, "assistant", call("p", "q")), (1, "assistant", call("q", "p")), (2, "assistant", call("r", "q")), (3, "assistant", call("s", "s")), (4, "tool", {"tool_call_id": "p", "content": "x"}))
+    df = spark.createDataFrame(rows + rows[:1], "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.formatted(chat.parsed(df), {"f": {}}).collect()
+    last = 1 << 40
+    order = sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.order_turn, last if r.order_depth is None else r.order_depth, r.order_kind, r.turn, r.position))
+    assert [(r.kind, r.call_id) for r in order] == [("call", "a"), ("result", "a"), ("call", "b"), ("result", "b"), ("call", "c"), ("call", "c"), ("result", "c"), ("message", None)]
+    assert {r.call_id: r.order_depth for r in got if r.conv_id == 2} == {"p": None, "q": None, "r": None, "s": None}
+    assert {r.call_id: r.order_turn for r in got if r.conv_id == 2 and r.kind == "call"} == {"p": 0, "q": 1, "r": 2, "s": 3}
+    assert chat.formatted(chat.parsed(df.where("false")), {}).count() == 0
+
+
+def test_odd_json_does_not_stop_the_job(spark):
+    rows = _log(1, (0, "assistant", '{"tool_calls":[{"id":"\\ud800","name":"\\udfff","arguments":{"a":"\\ud800x"}}],"content":"\\ud83d"}'), (1, "tool", '{"tool_call_id":"\\ud800","content":{"b":"\\udc00"}}'),
+                (2, "assistant", '{"tool_calls":[{"id":"n","name":"f","arguments":"{\\"a\\":NaN}"}]}'), (3, "assistant", '{"tool_calls":[{"id":"i","name":"f","arguments":{"a":1e999}}]}'), (4, "assistant", '{"a":' * 100_000), (5, "assistant", "{" + " " * 1_000_000))
+    got = {r.turn: r for r in chat.formatted(chat.parsed(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), {"f": {}}).where("kind != 'message' or turn > 2").collect()}
+    assert got[0].json == '{"role":"assistant","tool_calls":[{"arguments":{"a":"\ufffdx"},"id":"\ufffd","name":"\ufffd"}]}' and got[0].linked and got[1].linked
+    assert got[2].valid is False and got[2].json.count("NaN") == 1 and '"{' in got[2].json
+    assert {got[k].kind for k in (3, 4, 5)} == {"message"}
+
+
+def test_links_are_hash_joins(spark, capsys):
+    df = spark.createDataFrame([(1, 1, "user", "x")], "conv_id long, turn long, role string, text string")
+    chat.linked(chat.dialogue(df)).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 # --- pipeline ----------------------------------------------------------------------------------------------------
@@ -618,3 +782,22 @@ def test_pipeline_stages(spark, tmp_path):
             assert "[assign]" in next(x.text for x in at.collect() if x.doc_id == 8)
     assert {x.doc_id for x in at.collect()} == {x.doc_id for x in before.collect()}
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    texts, labels = graded_corpus(240)
+    r = random.Random(3)
+    good = " ".join(r.choice(vocabulary_of(9, 400)) for _ in range(80))
+    texts = [t + " " + " ".join(r.choice(vocabulary_of(8, 300)) for _ in range(60)) if i % 3 == 2 else t for i, t in enumerate(texts)]
+    odd = [None, "", " ", good + " " * 1_000_000 + "end", "x" * 1_000_000, texts[2], texts[2]]
+    ids = [*range(len(texts)), *range(1000, 1005), 2, None]
+    df = docs(spark, [*texts, *odd], ids=ids, extra=False)
+    for name, rows in (("odd", df), ("empty", df.where("false"))):
+        rows.coalesce(2).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where("doc_id >= 0" if name == "odd" else "false").write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {x.doc_id for x in got} <= {*(i for i in range(len(texts)) if i % 3 == 2), 1003, None}
+    assert sum(x.doc_id == 2 and x.start == 0 for x in got) == 1 and sum(x.doc_id is None for x in got) == 1
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
