@@ -3,6 +3,13 @@
 Each stage takes what its predecessor kept and returns the columns of
 ``documents``; the last returns one row for each packed piece, and with the
 first piece of each training sequence its ids.
+
+A null or empty text goes in the quality rules (no words), as does any with
+fewer than 50.  Rows with a null id are judged, but take no part in the search
+for near duplicates and stay.  Where an id occurs several times, each row is
+judged by its own text; of repeated rows one stays.  A very long text is one row of
+work in each stage.  An empty table gives an empty one.  Extra columns stay as they
+are up to the packing.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgauge.llm.common import table, written
-from quillgauge.llm.neardup import deduplicated, near_duplicates
+from quillgauge.llm.neardup import deduplicated
 from quillgauge.llm.ordinal import fit, selected
 from quillgauge.llm.packing import pieces_with_sequences, sequences
 from quillgauge.llm.rules import kept_by_rules
@@ -23,13 +30,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the base counts and the likelihood ratio over this corpus."""
-    return kept_by_rules(docs, table(spark, sf_dir, "labels"), shrunk=True)
+    """Keeps the documents that pass the base counts and the likelihood ratio of trusted to raw documents."""
+    return kept_by_rules(docs, table(spark, sf_dir, "labels"), shrunk=True, corpus=table(spark, sf_dir, "documents"))
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest id."""
-    return deduplicated(docs, near_duplicates(docs))
+    return deduplicated(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
