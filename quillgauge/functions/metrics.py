@@ -75,16 +75,27 @@ def _share(n: Column, of: Column) -> Column:
     return n / F.greatest(of, F.lit(1))
 
 
+def recall_of_sets(a: str | Column, b: str | Column) -> Column:
+    """Share of a word set that another has; 0 if either is empty."""
+    a, b = col(a), col(b)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(_share(F.size(F.array_intersect(a, b)), F.size(a)))
+
+
+def jaccard_of_sets(a: str | Column, b: str | Column) -> Column:
+    """Jaccard similarity of two word sets; 0 if either is empty."""
+    a, b = col(a), col(b)
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(_share(both, F.size(a) + F.size(b) - both))
+
+
 def context_recall(ref: str | Column, mt: str | Column, keyword: str | Column, match: str | Column) -> Column:
     """Share of the reference's words, without the keyword, that the translation has, without the match."""
-    a, b = word_set(remove_all(ref, keyword)), word_set(remove_all(mt, match))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(_share(F.size(F.array_intersect(a, b)), F.size(a)))
+    return recall_of_sets(word_set(remove_all(ref, keyword)), word_set(remove_all(mt, match)))
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """Jaccard similarity of the word sets; 0 if either is empty."""
-    a, b = word_set(a), word_set(b)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(_share(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))))
+    return jaccard_of_sets(word_set(a), word_set(b))
 
 
 #: Weights of context recall, anchor presence and word similarity.

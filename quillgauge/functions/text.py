@@ -66,12 +66,12 @@ def normalize(c: str | Column, strip_diacritics: bool = False, compose: bool = T
 
 def tokens(c: str | Column, letters: str = "\\w\\u0600-\\u06FF") -> Column:
     """Runs of the given letters.  Punctuation of the Arabic block counts as letters and stays on its word."""
-    return F.filter(F.split(squeeze(F.coalesce(col(c), F.lit(""))), f"(?U)[^{letters}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(col(c), F.lit("")), f"(?U)[^{letters}]+"), "")
 
 
 def words(c: str | Column) -> Column:
     """Whitespace-separated words, in order."""
-    return F.filter(F.split(strip(F.coalesce(col(c), F.lit(""))), SPACE), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(col(c), F.lit("")), SPACE), "")
 
 
 def word_set(c: str | Column) -> Column:
@@ -169,7 +169,11 @@ def json_object(c: str | Column, schema: str) -> Column:
     return F.when(found != "", F.from_json(found, schema))
 
 
-def parse_label(c: str | Column, labels: list[str], beginnings: tuple[str, ...] = ("the error is", "error class:", "error type:", "answer:", "class:")) -> Column:
+# Beginnings that answers put before a label.
+BEGINNINGS = ("the error is", "error class:", "error type:", "answer:", "class:")
+
+
+def parse_label(c: str | Column, labels: list[str], beginnings: tuple[str, ...] = BEGINNINGS) -> Column:
     """The first label, in the list's order, that an answer holds; then its first line; else "Unknown"."""
     raw = F.coalesce(col(c), F.lit(""))
     text = F.regexp_replace(strip(F.lower(raw)), "^[\"'.*\\n]+|[\"'.*\\n]+\\z", "")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 SEED = 42
 
 
@@ -27,21 +29,29 @@ def overlap(rows: DataFrame, held_out: DataFrame, key: str = "Sentence_ID") -> D
     return rows.select(key).where(F.col(key).isNotNull()).distinct().join(held_out.select(key).distinct(), key, "left_semi")
 
 
-def with_sequence(rows: DataFrame, name: str, order: list[str], pattern: str | None = None) -> DataFrame:
-    """Adds consecutive numbers from 0 by an order, or ids after a pattern such as 'T1_%04d'.
+def with_sequence(rows: DataFrame, name: str, order: list[str | Column], pattern: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds consecutive numbers from 0 by an order (within each ``by``, if given), or ids after a pattern such as 'T1_%04d'.
 
-    Numbers come from sorted ranges: one pass counts the rows of each range, the
-    next adds the ranges before, so no single task sees all rows.
+    The rows are sorted into ranges and written once with each row's range and
+    place in it; counts and numbers are both read from that table, so they belong to the
+    same ranges whatever a second sampling would choose.  A number is the rows in
+    the ranges before plus the place.  No single task sees all rows of a table or group; rows
+    that are equal in the order are numbered in any order.
     """
     cols = rows.columns
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    keys = [*by, *order]
+    spread = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(spread, "numbered")
     # the id's upper bits are the partition, its lower bits count within it
-    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = spread.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    number = F.col("__start") + within
-    return spread.join(F.broadcast(starts), "__part").select(*cols, (F.format_string(pattern, number) if pattern else number).alias(name))
+    sizes = placed.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range (and group)
+    start = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
+    starts = sizes.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col("__part").alias("__range"), start.alias("__start"))
+    same = F.col("__part") == F.col("__range")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    number = F.col("__start") + F.col("__at")
+    return placed.join(starts, same).select(*cols, (F.format_string(pattern, number) if pattern else number).alias(name))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -55,22 +65,30 @@ def left_join_first(left: DataFrame, right: DataFrame, keys: list[str], order: l
     return left.join(keep_first(right, keys, order), keys, "left").fillna(fill)
 
 
+def _first_of_each(rows: DataFrame, group: str, n: int, key: str, seed: int) -> DataFrame:
+    """The ``n`` first rows of each group by lot, with their rank in __r.
+
+    Spark keeps the ``n`` first of each group in every task before the exchange
+    (the rank's limit is pushed below it), so a hot group sends few rows.
+    """
+    w = Window.partitionBy(group).orderBy(lot(key, seed=seed), key)
+    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
+
+
 def stratified_quota(rows: DataFrame, label: str, labels: DataFrame, total: int, key: str, seed: int = SEED) -> DataFrame:
     """``total`` rows shared out evenly over the labels; the remainder goes one each to the first labels by name.
 
     A label with fewer rows gives all it has; its share isn't passed on.
     """
-    ranked = labels.select(F.col(label)).distinct().withColumn("__i", F.row_number().over(Window.orderBy(label)))  # a row for each label
-    n = ranked.agg(F.count("*").alias("__n"))
-    quota = ranked.join(F.broadcast(n)).select(label, (F.floor(F.lit(total) / F.col("__n")) + F.when(F.col("__i") <= F.lit(total) % F.col("__n"), 1).otherwise(0)).alias("__quota"))
-    w = Window.partitionBy(label).orderBy(lot(key, seed=seed), key)
-    return rows.join(F.broadcast(quota), label).withColumn("__r", F.row_number().over(w)).where("__r <= __quota").drop("__r", "__quota")
+    kinds = labels.select(F.col(label)).distinct()
+    ranked = kinds.withColumns({"__i": F.row_number().over(Window.orderBy(label)), "__n": F.count("*").over(Window.partitionBy())})  # a row for each label
+    quota = ranked.select(label, (F.floor(F.lit(total) / F.col("__n")) + F.when(F.col("__i") <= F.lit(total) % F.col("__n"), 1).otherwise(0)).alias("__quota"))
+    return _first_of_each(rows, label, total, key, seed).join(quota, label).where("__r <= __quota").drop("__r", "__quota").select(*rows.columns)
 
 
 def sample_per_group(rows: DataFrame, group: str, n: int, key: str, seed: int = SEED) -> DataFrame:
     """At most ``n`` rows of each group."""
-    w = Window.partitionBy(group).orderBy(lot(key, seed=seed), key)
-    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+    return _first_of_each(rows, group, n, key, seed).drop("__r")
 
 
 def spot_check(rows: DataFrame, key: str, least: int = 30, share: float = 0.05, seed: int = SEED) -> DataFrame:
@@ -91,24 +109,29 @@ def stratified_group_folds(rows: DataFrame, group: str, label: str, folds: int =
     """
     sizes = rows.groupBy(group, label).agg(F.count("*").alias("n"))
     main = sizes.groupBy(group).agg(F.max_by(label, F.struct("n", label)).alias("main"), F.sum("n").alias("size"))
-    w = Window.partitionBy("main").orderBy(F.desc("size"), lot(group, seed=seed), group)
-    turn = F.row_number().over(w) - 1
-    dealt = main.withColumn("turn", turn).select(group, F.when((F.col("turn") / folds).cast("int") % 2 == 0, F.col("turn") % folds).otherwise(folds - 1 - F.col("turn") % folds).cast("int").alias("fold"))
+    ranked = main.select(group, "main", (-F.col("size")).alias("least"), lot(group, seed=seed).alias("lot"))
+    turn = with_sequence(ranked, "turn", ["least", "lot", group], by=("main",))
+    dealt = turn.select(group, F.when(F.floor(F.col("turn") / folds) % 2 == 0, F.col("turn") % folds).otherwise(folds - 1 - F.col("turn") % folds).cast("int").alias("fold"))
     return rows.join(dealt, group)
 
 
+def _numbered_by_lot(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Adds __r, each row's number within its label by lot, and __n, the rows of the label; hot labels are spread over many ranges."""
+    numbered = with_sequence(rows.withColumn("__lot", lot(key, seed=seed)), "__r", ["__lot", key], by=(label,)).drop("__lot")
+    sizes = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    return numbered.join(sizes, numbered[label].eqNullSafe(sizes["__label"])).drop("__label")
+
+
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = 5, seed: int = SEED) -> DataFrame:
     """Adds a fold by turns within each label; labels with fewer rows than folds get -1 (always trained on)."""
-    w = Window.partitionBy(label).orderBy(lot(key, seed=seed), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return rows.withColumn("fold", F.when(n < folds, -1).otherwise(F.pmod(F.row_number().over(w) - 1, F.lit(folds))).cast("int"))
+    fold = F.when(F.col("__n") < folds, -1).otherwise(F.pmod("__r", F.lit(folds))).cast("int")
+    return _numbered_by_lot(rows, label, key, seed).select(*rows.columns, fold.alias("fold"))
 
 
 def three_way_split(rows: DataFrame, label: str, key: str, train: float = 0.70, valid: float = 0.15, seed: int = SEED) -> DataFrame:
     """Adds split: train, valid or test, by shares within each label."""
-    w = Window.partitionBy(label).orderBy(lot(key, seed=seed), key)
-    share = (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy(label))
-    return rows.withColumn("split", F.when(share < train, "train").when(share < train + valid, "valid").otherwise("test"))
+    share = F.col("__r") / F.col("__n")
+    return _numbered_by_lot(rows, label, key, seed).select(*rows.columns, F.when(share < train, "train").when(share < train + valid, "valid").otherwise("test").alias("split"))
 
 
 def fold_roles(rows: DataFrame, folds: int = 5) -> DataFrame:

@@ -103,14 +103,6 @@ def bootstrap_ci(preds: DataFrame, key: str, times: int = 1000, true: str = "tru
     return f1.agg(F.count("*").alias("resamples"), F.avg("f1").alias("mean_f1"), F.percentile("f1", 0.025).alias("ci_lower"), F.percentile("f1", 0.975).alias("ci_upper"))
 
 
-def poisson_bootstrap_ci(preds: DataFrame, times: int = 1000, true: str = "true_label", pred: str = "pred_label", seed: int = 42) -> DataFrame:
-    """The same interval from cell counts alone: each cell's count is redrawn, so cost doesn't grow with the rows."""
-    c = cells(preds, true, pred).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    again = c.select("b", "t", "p", F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * F.randn(seed))).cast("long").alias("n"))
-    f1 = class_scores(again.where("n > 0"), ("b",)).groupBy("b").agg(F.avg("f1").alias("f1"))
-    return f1.agg(F.percentile("f1", 0.025).alias("ci_lower"), F.percentile("f1", 0.975).alias("ci_upper"))
-
-
 def paired_bootstrap(a: DataFrame, b: DataFrame, key: str = "sample_id", times: int = 10_000, true: str = "true_label", pred: str = "pred_label") -> DataFrame:
     """Difference of macro-F1 of two models on the rows both have: p is the share of resamples in which a isn't better."""
     both = a.select(key, true, F.col(pred).alias("pred_a")).join(b.select(key, F.col(pred).alias("pred_b")), key)
@@ -237,7 +229,7 @@ def keyword_baseline(test: DataFrame, text: str, rules: dict[str, list[str]], de
 
 
 def tfidf_pipeline(text: str, label: str, kind: str = "logistic", size: int = 50_000, min_df: int = 2):
-    """Words and pairs of words, sublinear counts by inverse frequency, and a linear classifier: an unfitted pipeline."""
+    """Words and pairs of words, plain counts by inverse frequency, and a linear classifier: an unfitted pipeline."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
     from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer

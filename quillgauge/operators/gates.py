@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.affix import ARABIC, Affixes, count_matches
-from ..functions.text import OMITTED, col, has_script, normalize, strip, tokens
+from ..functions.text import OMITTED, col, has_script, normalize, remove_all, strip, tokens, word_set
 
 # The classes that each regime and list holds, and the floors.
 REGIME_D = ("Meaning Shift",)
@@ -208,7 +208,8 @@ def clean_rates(validated: DataFrame, by: str = "error_type") -> DataFrame:
 
 def lite_scores(rows: DataFrame, ref: str = "ar_ref", mt: str = "mt_output", keyword: str = "keyword", match: str = "best_match") -> DataFrame:
     """Adds ocs, cps_proxy, sfr_proxy, mpqs_lite (rounded to four places) and accepts_basic (on the unrounded score)."""
-    x = rows.withColumns({"ocs": M.anchor_present(ref, keyword), "__c": M.context_recall(ref, mt, keyword, match), "__s": M.jaccard(ref, mt)})
+    x = rows.withColumns({"__a": word_set(remove_all(ref, keyword)), "__b": word_set(remove_all(mt, match)), "__r": word_set(ref), "__m": word_set(mt)})  # each set once for a row
+    x = x.withColumns({"ocs": M.anchor_present(ref, keyword), "__c": M.recall_of_sets("__a", "__b"), "__s": M.jaccard_of_sets("__r", "__m")}).drop("__a", "__b", "__r", "__m")
     score = M.LITE[0] * F.col("__c") + M.LITE[1] * F.col("ocs") + M.LITE[2] * F.col("__s")
     x = x.withColumn("__q", score)
     return x.withColumns({"cps_proxy": F.round("__c", 4), "sfr_proxy": F.round("__s", 4), "mpqs_lite": F.round("__q", 4), "accepts_basic": (F.col("ocs") == 1) & (F.col("__q") >= M.LOOSE)}).drop("__c", "__s", "__q")

@@ -63,5 +63,5 @@ def taxonomy_map(spark: SparkSession) -> dict[str, dict]:
 
 
 def load_pool(spark: SparkSession, path: str) -> DataFrame:
-    """A pool of labelled samples with consecutive ids by content."""
+    """A pool of labelled samples as it is in its file, with the path it came from."""
     return read_csv(spark, path).withColumn("loaded_from", F.lit(path))

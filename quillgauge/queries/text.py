@@ -80,7 +80,7 @@ SELECT token, prefix, substr(token, length(prefix) + 1) AS no_prefix, suffix, su
 def affix_match_join_query(spark, d):
     t = read(spark, d, "documents").select(F.explode(T.tokens("text", LETTERS)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     k = spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string")
-    return affix_match_join(t, k, ENGLISH).select("token", "n", "keyword", "rule")
+    return affix_match_join(t, k, ENGLISH, unique=True).select("token", "n", "keyword", "rule")
 
 
 AFFIX_MATCH_JOIN = f"""
@@ -146,13 +146,12 @@ def _token_hit(keyword: str, text: str) -> str:
 
 
 def candidate_scan_affix(spark, d):
-    return find_candidates(pairs(spark, d), patterns(spark), "affix", ENGLISH, compose=False).groupBy("sub_subtype", "keyword").agg(F.count("*").alias("n"))
+    return find_candidates(pairs(spark, d), patterns(spark), "affix", ENGLISH, compose=False).select("conv_id", "turn", "sub_subtype", "keyword", "best_match")
 
 
 CANDIDATE_SCAN_AFFIX = f"""
-WITH {PAIRS}, {PATTERN_VALUES} SELECT sub_subtype, keyword, count(*) AS n FROM pairs CROSS JOIN pats
-WHERE {_token_hit('keyword', 'ar_ref')} AND CASE WHEN best_match = '[OMITTED]' THEN NOT {_token_hit('keyword', 'mt_output')} ELSE {_token_hit('best_match', 'mt_output')} END
-GROUP BY sub_subtype, keyword"""
+WITH {PAIRS}, {PATTERN_VALUES} SELECT conv_id, turn, sub_subtype, keyword, best_match FROM pairs CROSS JOIN pats
+WHERE {_token_hit('keyword', 'ar_ref')} AND CASE WHEN best_match = '[OMITTED]' THEN NOT {_token_hit('keyword', 'mt_output')} ELSE {_token_hit('best_match', 'mt_output')} END"""
 
 
 def esv_lite(spark, d):

@@ -1,8 +1,11 @@
-"""The Spark session that the library's own tools use."""
+"""The Spark session that the library's own tools use, and tables written between steps."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "quillgauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,3 +23,26 @@ def session(name: str = "quillgauge", master: str | None = None, **conf: str) ->
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; on a local master without that setting, a new temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="quillgauge-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives lost executors.
+
+    Results are read from it lazily, so it stays; whoever names the folder clears it after the job.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -11,7 +11,7 @@ from quillgauge.functions import metrics as M
 from quillgauge.functions import prompts
 from quillgauge.functions import text as T
 from quillgauge.functions.affix import ARABIC, ENGLISH, Affixes, count_matches, match_rule
-from quillgauge.operators.matching import affix_match_cascade, affix_match_join, find_candidates, occurs
+from quillgauge.operators.matching import affix_match_join, find_candidates, occurs
 
 
 def value(spark, column):
@@ -39,6 +39,12 @@ def brute_rule(t, k, a: Affixes):
     return next((r for ok, r in tries if ok), "")
 
 
+def affix_match_cascade(tokens, patterns, affixes):
+    """The same result by comparing every token with every keyword."""
+    pairs = tokens.crossJoin(patterns.select("keyword").distinct())
+    return pairs.withColumn("rule", match_rule("token", "keyword", affixes)).where("rule != ''")
+
+
 @pytest.mark.parametrize("affixes, letters", [(ARABIC, "ولابكفتينةه"), (ENGLISH, "unrethigds")])
 def test_join_equals_cascade_and_loops(spark, affixes, letters):
     r = random.Random(1)
@@ -49,6 +55,8 @@ def test_join_equals_cascade_and_loops(spark, affixes, letters):
     want = {(x, y, brute_rule(x, y, affixes)) for x in tokens for y in keywords if brute_rule(x, y, affixes)}
     joined = affix_match_join(t, k, affixes).select("token", "keyword", "rule")
     assert {tuple(x) for x in joined.collect()} == want == {tuple(x) for x in affix_match_cascade(t, k, affixes).select("token", "keyword", "rule").collect()}
+    once = affix_match_join(t.selectExpr("token", "length(token) as n"), k, affixes, unique=True)
+    assert {tuple(x) for x in once.collect()} == {(x, len(x), y, z) for x, y, z in want}
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
 
@@ -106,6 +114,35 @@ def test_occurrence_and_candidates(spark):
     assert find_candidates(rows, pats.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("mode", ["affix", "literal", "as_shipped"])
+def test_many_patterns_equal_loops(spark, mode):
+    """20,000 patterns, joined or riding along, against plain loops."""
+    r = random.Random(6)
+    word = lambda most: "".join(r.choice("unrethigdsabc") for _ in range(r.randrange(1, most)))
+    rows = [(i, " ".join(word(7) for _ in range(r.randrange(0, 5))), " ".join(word(7) for _ in range(4))) for i in range(6 if mode == "as_shipped" else 25)] + [(98, None, "x"), (99, "", "")]
+    pats = sorted({(r.choice("AB"), word(6), r.choice([word(5), "[OMITTED]"])) for _ in range(23_000)})[:20_000] + [("A", "", "x"), ("B", "un", "")]
+    df = spark.createDataFrame(rows, "id long, ar_ref string, mt_output string")
+
+    def there(k, t):
+        return bool(k and t) and (k in t or (mode == "affix" and any(brute_rule(x, k, ENGLISH) for x in t.split())))
+
+    def in_text(k, t):
+        return there(k, t) if mode == "affix" else t is not None and k in t
+
+    want = {(i, s, k, b) for i, a, m in rows for s, k, b in pats if (b != "[OMITTED]" if mode == "as_shipped" else in_text(k, a) and (not in_text(k, m) if b == "[OMITTED]" else in_text(b, m)))}
+    p = spark.createDataFrame(pats, "sub_subtype string, keyword string, best_match string")
+    found = find_candidates(df, p, mode, ENGLISH, compose=False, inline=8000)
+    got = [(x.id, x.sub_subtype, x.keyword, x.best_match) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    if mode != "as_shipped":
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+    few = find_candidates(df, p.limit(300), mode, ENGLISH, compose=False)
+    some = find_candidates(df, p.limit(300), mode, ENGLISH, compose=False, inline=10)
+    key = lambda x: {(y.id, y.sub_subtype, y.keyword, y.best_match) for y in x.collect()}
+    assert key(few) == key(some)
+
+
 def test_inputs_and_messages(spark):
     form = lambda f, k="k", b="b": tuple(value(spark, prompts.model_input(f, F.lit("r"), F.lit("m"), F.lit(k), F.lit(b))))
     assert form("A") == ("r", "m") and form("B") == ("r", "m k b") and form("C") == ("m", None) and form("D") == ("k b", "r m") and form("D", "nan") == ("r", "m") and form("D", "k", "") == ("k [OMITTED]", "r m")
