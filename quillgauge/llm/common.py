@@ -6,14 +6,14 @@ import contextlib
 import ctypes
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir, written  # noqa: F401  (the operators take them from here)
+
 #: Bytes of text that a Python worker handles at a time.
 CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch on its way to a worker; a single larger row still passes.
@@ -24,17 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; on a local master without that setting, a new temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="quillgauge-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def qualified(spark: SparkSession, folder: str) -> str:
     """``folder`` with its scheme, as Spark itself resolves it: a bare path lies on the default file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -42,18 +31,6 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return re.sub(r"^file:/(?!/)", "file:///", full)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives lost executors.
-
-    Results are read from it lazily, so it stays; whoever names the folder clears it after the job.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of one string column, so that long texts don't add up."""
     for batch in batches:
