@@ -99,3 +99,8 @@ def rule_judge() -> Callable[[list[str]], list[str]]:
         return out
 
     return judge
+
+
+def rule_scorer(checkpoint: str | None = None, device: str = "cpu", batch_size: int = 16) -> Callable[[pd.DataFrame], Scores]:
+    """A deterministic scorer of two labels for tests and dry runs: the second leads by the batch size."""
+    return lambda rows: [[0.0, float(batch_size)]] * len(rows)

@@ -260,6 +260,43 @@ def test_flow_and_scorers(spark, tmp_path):
     assert facade.taxonomy_map(spark)["Spelling Error"]["label_id"] == 21
 
 
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("source_en,ar_ref,mt_output\ns,the reader left home,the writer left home\ns,the reader,odd writer\n", encoding="utf-8")
+    (tmp_path / "pats.json").write_text(json.dumps({"A": [{"keyword": "reader", "best_match": "writer"}]}))
+    (tmp_path / "labels.json").write_text(json.dumps({"second": 1, "first": 0}))
+    given = ["--input", str(tmp_path / "in.csv"), "--patterns", str(tmp_path / "pats.json"), "--label-map", str(tmp_path / "labels.json"), "--output"]
+    run = lambda name, *more: (flow.main([*given, str(tmp_path / name), *more]), files.read_csv(spark, str(tmp_path / name)).collect())
+    code, rows = run("a")
+    assert code == 0 and len(rows) == 1 and rows[0].confidence == "0.0"
+    code, rows = run("b", "--skip-gate", "--scorer", "quillgauge.plans.scorers:rule_scorer", "--batch-size", "3")
+    assert code == 0 and len(rows) == 2 and {r.predicted_label for r in rows} == {"second"} and rows[0].mpqs_lite is None
+    assert run("c", "--scorer", "no.module:x", "--skip-classifier")[0] == 0
+    code, rows = run("d", "--audit", "quillgauge.plans.scorers:rule_judge", "--audit-min", "0.0", "--skip-gate")
+    assert code == 0 and len(rows) <= 2
+    assert flow.main([*given, str(tmp_path / "e"), "--scorer", "no.module:x"]) == 3 and flow.main([*given, str(tmp_path / "e"), "--audit", "json:nothing"]) == 3
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
+    assert flow.main(["--input", str(tmp_path / "bad.csv"), "--patterns", str(tmp_path / "pats.json"), "--output", str(tmp_path / "f")]) == 2
+    assert flow.main(["--input", str(tmp_path / "none.csv"), "--patterns", str(tmp_path / "pats.json"), "--output", str(tmp_path / "f")]) == 2
+
+
+def test_published_demo_rows(spark):
+    """Golden values: three of the published pairs, the patterns of their rows, and their scores."""
+    rows = [
+        (1, "ويؤيد الجهاز المركزي بحزم الجهود التي تبذلها بلدان المنطقة للتصدي للحالة السائدة في أنجوان.", "ويؤيد الجهاز المركزي بقوة الجهود التي تبذلها بلدان المنطقة للتعامل مع الوضع السائد في أنجوان."),
+        (6, "رسالة مؤرخة ٨ شباط/فبراير ١٩٩٩ موجهة من البعثة الدائمة", "رسالة مؤرخة 8 شباط/فبراير 1999 من الممثل الدائم لـ"),
+        (9, "٢ - الحالة بين إريتريا وإثيوبيا", "2. الوضع بين إريتريا وإثيوبيا"),
+    ]
+    pats = [("حالة", "أجواء"), ("حالة", "الغلاف الجوي"), ("منطقة", "مجال"), ("بعثة", "عملية"), ("بعثة", "قوة"), ("حالة", "[OMITTED]")]
+    df = spark.createDataFrame([(*r, "") for r in rows], "source_row_id long, ar_ref string, mt_output string, source_en string")
+    p = spark.createDataFrame([("Meaning Shift", *x) for x in pats], "sub_subtype string, keyword string, best_match string")
+    got = {(r.source_row_id, r.keyword, r.best_match): (r.ocs, r.cps_proxy, r.sfr_proxy, r.mpqs_lite, r.accepts_basic) for r in flow.run(df, p, "as_shipped").collect()}
+    assert got == {
+        (1, "حالة", "أجواء"): (1, 0.7143, 0.5263, 0.753, True), (1, "حالة", "الغلاف الجوي"): (1, 0.7143, 0.5263, 0.753, True), (1, "منطقة", "مجال"): (1, 0.6429, 0.5263, 0.7209, True),
+        (6, "بعثة", "عملية"): (1, 0.4444, 0.2857, 0.5714, True), (6, "بعثة", "قوة"): (1, 0.4444, 0.2857, 0.5714, True),
+        (9, "حالة", "أجواء"): (1, 0.5, 0.375, 0.6188, True), (9, "حالة", "الغلاف الجوي"): (1, 0.5, 0.375, 0.6188, True),
+    }
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     pairs = spark.createDataFrame([("the reader left home", "the writer left home"), ("x", "y")], "ar_ref string, mt_output string")
