@@ -118,7 +118,9 @@ def count_matches(toks: str | Column, keyword_tokens: str | Column, affixes: Aff
     """
     toks, k = col(toks), col(keyword_tokens)
     m, n = F.size(k), F.size(toks)
-    rules = F.filter(F.transform(toks, lambda t: match_rule(t, F.get(k, F.lit(0)), affixes)), lambda r: r != "")
+    # whichever rule holds, one of the two is part of the other: few tokens are left for the regular expressions
+    near_k = F.filter(toks, lambda t: t.contains(F.get(k, F.lit(0))) | F.get(k, F.lit(0)).contains(t))
+    rules = F.filter(F.transform(near_k, lambda t: match_rule(t, F.get(k, F.lit(0)), affixes)), lambda r: r != "")
     starts = F.when(n >= m, F.sequence(F.lit(0), n - m)).otherwise(F.array().cast("array<int>"))
     exact = F.exists(starts, lambda i: F.slice(toks, i + 1, m) == k)
 
@@ -126,7 +128,8 @@ def count_matches(toks: str | Column, keyword_tokens: str | Column, affixes: Aff
         first = match_rule(F.get(toks, i), F.get(k, F.lit(0)), affixes)
         last = match_rule(F.get(toks, i + m - 1), F.get(k, m - 1), affixes)
         rest = m - 1
-        return F.when((first != "") & (F.slice(toks, i + 2, rest) == F.slice(k, F.lit(2), rest)), first).when((last != "") & (F.slice(toks, i + 1, rest) == F.slice(k, F.lit(1), rest)), last).otherwise(F.lit(""))
+        tail, head = F.slice(toks, i + 2, rest) == F.slice(k, F.lit(2), rest), F.slice(toks, i + 1, rest) == F.slice(k, F.lit(1), rest)
+        return F.when(tail & (first != ""), first).when(head & (last != ""), last).otherwise(F.lit(""))
 
     close = F.filter(F.transform(starts, near), lambda r: r != "")
     none = F.struct(F.lit(0).alias("n"), F.lit("").alias("rule"))
