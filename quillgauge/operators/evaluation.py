@@ -75,40 +75,67 @@ def best_fold(folds: DataFrame, metric: str = "macro_f1", fold: str = "fold", la
     return folds.orderBy(F.desc(metric), F.desc(fold) if last else F.asc(fold)).limit(1)
 
 
-def _draw(i: Column, j: Column, n: Column) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", i.cast("string"), j.cast("string"))), 1, 8), 16, 10).cast("long"), n)
+#: Resamples drawn together in a task.
+STEP = 64
 
 
-def resampled_cells(preds: DataFrame, key: str, times: int, true: str = "true_label", preds_of: tuple[str, ...] = ("pred_label",)) -> DataFrame:
-    """(b, t, p, n) for each resample ``b`` (and model, if several): rows drawn with replacement.
+def draw_counts(counts: list[int], b: int, seed: int = 42):
+    """How often resample ``b`` draws each cell: one multinomial of as many rows as there are, the same wherever it runs."""
+    import numpy as np
 
-    Rows are numbered by their key; draw ``j`` of resample ``i`` takes the row
-    number md5(i-j) mod n.  All models share the draws.  Rows are first reduced to
-    their labels, which the numbering keeps.
-    """
-    from .curation import with_sequence
+    total = sum(counts)
+    return np.random.Generator(np.random.Philox(key=[seed, b])).multinomial(total, np.asarray(counts, dtype="float64") / total)
 
-    numbered = with_sequence(preds.select(F.col(key).alias("k"), F.col(true).alias("t"), *preds_of), "r", ["k"])
-    n = numbered.agg(F.count("*").alias("size"))
-    draws = numbered.select(F.col("r").alias("j")).join(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    drawn = draws.select("b", _draw(F.col("b"), F.col("j"), F.col("size")).alias("r")).groupBy("b", "r").agg(F.count("*").alias("m"))
-    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in preds_of)))
-    rows = drawn.join(numbered, "r").select("b", "m", "t", models.alias("x")).select("b", "m", "t", "x.model", "x.p")
-    return rows.groupBy("b", "model", "t", "p").agg(F.sum("m").alias("n"))
 
+def resampled_f1(preds: DataFrame, times: int, true: str = "true_label", preds_of: tuple[str, ...] = ("pred_label",), seed: int = 42) -> DataFrame:
+    """(b, f1): macro-F1 of each model over ``times`` resamples of the rows, drawn with replacement.
 
-def bootstrap_ci(preds: DataFrame, key: str, times: int = 1000, true: str = "true_label", pred: str = "pred_label") -> DataFrame:
+    Rows of one cell (the true label and every model's prediction) are alike, so
+    drawing rows is drawing cells from a multinomial by their counts: one
+    aggregation of the rows, then cells x resamples numbers, however many rows
+    there are.  All models share the draws.  Cells are at most classes to the
+    power of models + 1.  Without rows there are no resamples.
+    """
+    names = ["t", *(f"p{i}" for i in range(len(preds_of)))]
+    counts = preds.groupBy(F.col(true).alias("t"), *(F.col(p).alias(f"p{i}") for i, p in enumerate(preds_of))).agg(F.count("*").alias("size"))
+    labels = F.array(*(F.col(c).cast("string") for c in names))
+    one = counts.agg(F.sort_array(F.collect_list(F.struct(labels.alias("l"), "size"))).alias("cells")).where(F.size("cells") > 0)
+    steps = preds.sparkSession.range(0, -(-times // STEP)).join(F.broadcast(one))  # one row of cells
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for step, found in zip(frame["id"], frame["cells"], strict=True):
+                sizes = [int(c["size"]) for c in found]
+                bs = list(range(step * STEP, min(times, (step + 1) * STEP)))
+                drawn = np.stack([draw_counts(sizes, b, seed) for b in bs]).astype("float64")
+                scores = []
+                for m in range(1, len(names)):
+                    pairs = [(c["l"][0], c["l"][m]) for c in found]
+                    kinds = sorted({x for pair in pairs for x in pair if x is not None})
+                    is_t = np.array([[t == k for k in kinds] for t, _ in pairs], dtype="float64").reshape(len(pairs), len(kinds))
+                    is_p = np.array([[p == k for k in kinds] for _, p in pairs], dtype="float64").reshape(len(pairs), len(kinds))
+                    both = drawn @ is_t + drawn @ is_p
+                    f1 = np.divide(2 * (drawn @ (is_t * is_p)), both, out=np.zeros_like(both), where=both > 0)
+                    scores.append(f1.sum(axis=1) / np.maximum((both > 0).sum(axis=1), 1))
+                yield pd.DataFrame({"b": bs, "f1": list(np.stack(scores, axis=1).tolist())})
+
+    return steps.mapInPandas(run, "b long, f1 array<double>")
+
+
+def bootstrap_ci(preds: DataFrame, times: int = 1000, true: str = "true_label", pred: str = "pred_label", seed: int = 42) -> DataFrame:
     """Mean and the 2.5 and 97.5 percentiles (linear interpolation) of macro-F1 over resamples."""
-    f1 = class_scores(resampled_cells(preds, key, times, true, (pred,)), ("b",)).groupBy("b").agg(F.avg("f1").alias("f1"))
+    f1 = resampled_f1(preds, times, true, (pred,), seed).select(F.col("f1")[0].alias("f1"))
     return f1.agg(F.count("*").alias("resamples"), F.avg("f1").alias("mean_f1"), F.percentile("f1", 0.025).alias("ci_lower"), F.percentile("f1", 0.975).alias("ci_upper"))
 
 
-def paired_bootstrap(a: DataFrame, b: DataFrame, key: str = "sample_id", times: int = 10_000, true: str = "true_label", pred: str = "pred_label") -> DataFrame:
+def paired_bootstrap(a: DataFrame, b: DataFrame, key: str = "sample_id", times: int = 10_000, true: str = "true_label", pred: str = "pred_label", seed: int = 42) -> DataFrame:
     """Difference of macro-F1 of two models on the rows both have: p is the share of resamples in which a isn't better."""
     both = a.select(key, true, F.col(pred).alias("pred_a")).join(b.select(key, F.col(pred).alias("pred_b")), key)
-    f1 = class_scores(resampled_cells(both, key, times, true, ("pred_a", "pred_b")), ("b", "model")).groupBy("b", "model").agg(F.avg("f1").alias("f1"))
     # rounded, as the order of a sum must not decide which model is better
-    delta = f1.groupBy("b").agg(F.round(F.max(F.when(F.col("model") == "pred_a", F.col("f1"))) - F.max(F.when(F.col("model") == "pred_b", F.col("f1"))), 12).alias("d"))
+    delta = resampled_f1(both, times, true, ("pred_a", "pred_b"), seed).select(F.round(F.col("f1")[0] - F.col("f1")[1], 12).alias("d"))
     seen = summary(both.select(F.col(true).alias("t0"), "pred_a"), "t0", "pred_a").select(F.col("macro_f1").alias("macro_f1_a")).join(F.broadcast(summary(both.select(F.col(true).alias("t0"), "pred_b"), "t0", "pred_b").select(F.col("macro_f1").alias("macro_f1_b"))))
     p = 1 - F.count_if(F.col("d") > 0) / F.count("*")
     out = delta.agg(p.alias("p_value"), F.percentile("d", 0.025).alias("ci_lower"), F.percentile("d", 0.975).alias("ci_upper"), F.count("*").alias("resamples"))

@@ -93,20 +93,14 @@ def data_efficiency(spark, d):
 
 DATA_EFFICIENCY = FOLDS + " SELECT fold, round(macro_f1 / (n / 1000.0), 6) AS des FROM f"
 
-# The operators' own numbers of resamples.
+# The operators' own numbers of resamples; multinomial draws are beyond SQL.
 TIMES = 1000
 PAIRED_TIMES = 10_000
-DRAWS = f"""r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS size FROM p),
-w AS (SELECT b, r.i AS j, ('0x' || substr(md5(b || '-' || r.i), 1, 8))::BIGINT % size AS i FROM r CROSS JOIN (SELECT unnest(range({TIMES})) AS b)),"""
+BOOTSTRAP_CI = PAIRED_BOOTSTRAP = None
 
 
 def bootstrap_ci(spark, d):
-    return E.bootstrap_ci(_preds(spark, d), "doc_id", TIMES).select("resamples", *_r("mean_f1", "ci_lower", "ci_upper"))
-
-
-BOOTSTRAP_CI = f"""
-WITH {PREDS}, {DRAWS} s AS (SELECT b, t, p FROM w JOIN r USING (i)), {_scores('b', 's')}, f AS (SELECT b, avg(f1) AS f1 FROM cls GROUP BY b)
-SELECT count(*) AS resamples, round(avg(f1), 6) AS mean_f1, round(quantile_cont(f1, 0.025), 6) AS ci_lower, round(quantile_cont(f1, 0.975), 6) AS ci_upper FROM f"""
+    return E.bootstrap_ci(_preds(spark, d), TIMES).select("resamples", *_r("mean_f1", "ci_lower", "ci_upper"))
 
 
 def paired_bootstrap(spark, d):
@@ -116,15 +110,6 @@ def paired_bootstrap(spark, d):
     return x.select(*_r("macro_f1_a", "macro_f1_b", "delta_macro_f1", "p_value", "ci_lower", "ci_upper"), "significant", "resamples")
 
 
-PAIRED_BOOTSTRAP = f"""
-WITH p0 AS (SELECT doc_id, quality::VARCHAR AS t, (1 - toxic)::VARCHAR AS pa, CASE WHEN doc_id % 3 = 0 THEN '0' ELSE '1' END AS pb FROM labels),
-r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS size FROM p0),
-w AS (SELECT b, ('0x' || substr(md5(b || '-' || r.i), 1, 8))::BIGINT % size AS i FROM r CROSS JOIN (SELECT unnest(range(-1, {PAIRED_TIMES})) AS b) WHERE b >= 0 UNION ALL SELECT -1, i FROM r),
-s AS (SELECT b, 'a' AS model, t, pa AS p FROM w JOIN r USING (i) UNION ALL SELECT b, 'b', t, pb FROM w JOIN r USING (i)),
-{_scores('b, model', 's')}, f AS (SELECT b, model, avg(f1) AS f1 FROM cls GROUP BY b, model), d AS (SELECT b, max(f1) FILTER (WHERE model = 'a') AS a, max(f1) FILTER (WHERE model = 'b') AS bb FROM f GROUP BY b),
-q AS (SELECT 1 - count(*) FILTER (WHERE round(a - bb, 12) > 0) / count(*)::DOUBLE AS pv, quantile_cont(a - bb, 0.025) AS lo, quantile_cont(a - bb, 0.975) AS hi, count(*) AS n FROM d WHERE b >= 0)
-SELECT round(a, 6) AS macro_f1_a, round(bb, 6) AS macro_f1_b, round(a - bb, 6) AS delta_macro_f1, round(pv, 6) AS p_value, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper, pv < 0.05 AS significant, n AS resamples FROM d, q WHERE b = -1"""
-
 # P-values of ten model pairs, whose adjusted forms have been published.
 P_VALUES = (0.0312, 0.1514, 0.0, 0.0014, 0.517, 0.7726, 0.284, 0.2492, 0.0046, 0.2552)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import math
 import random
+import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,7 +143,7 @@ def test_evaluation_against_loops(spark):
     assert evaluation.confusion(df).agg(F.sum("n")).first()[0] == 300 and evaluation.confusion(df).count() == 25
     folds = evaluation.summary(df, by=("fold",))
     assert evaluation.best_fold(folds).first().macro_f1 == evaluation.over_folds(folds).first().best
-    ci = evaluation.bootstrap_ci(df, "k", 60).first()
+    ci = evaluation.bootstrap_ci(df, 60).first()
     assert ci.resamples == 60 and ci.ci_lower < s.macro_f1 < ci.ci_upper
     same = evaluation.paired_bootstrap(df, df, "k", 20).first()
     assert same.delta_macro_f1 == 0 and same.p_value == 1.0 and not same.significant
@@ -159,9 +161,43 @@ def test_numbers_are_exact_in_large_tables(spark, tmp_path):
     assert all(r.k == r.c == r.m + 1 for r in by.collect()) and by.count() == 3
 
 
-def test_each_resample_draws_as_many_rows_as_there_are(spark):
-    preds = spark.range(400_000).selectExpr("id as k", "cast(id % 3 as string) as true_label", "cast(id % 2 as string) as pred_label")
-    assert [r.n for r in evaluation.resampled_cells(preds, "k", 3).groupBy("b").agg(F.sum("n").alias("n")).collect()] == [400_000] * 3
+def test_each_resample_draws_as_many_rows_as_there_are():
+    for b in range(3):
+        drawn = evaluation.draw_counts([133_334, 0, 200_000, 66_666], b)
+        assert drawn.sum() == 400_000 and drawn[1] == 0 and list(drawn) == list(evaluation.draw_counts([133_334, 0, 200_000, 66_666], b))
+        assert all(abs(n - e) < 5 * e**0.5 for n, e in zip(drawn, (133_334, 0, 200_000, 66_666), strict=True) if e)
+
+
+def macro(pairs):
+    scores = brute_f1(pairs, sorted({x for p in pairs for x in p if x is not None}))
+    return sum(f for f, _ in scores.values()) / len(scores)
+
+
+def test_bootstraps_against_loops(spark):
+    """The same draws scored by loops; and, by its moments, drawing row by row."""
+    r = random.Random(5)
+    rows = [(i, r.choice("aabc"), *r.choices(["a", "b", "c", "d", None], [6, 3, 3, 1, 1], k=2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, true_label string, pred_label string, other string")
+    cells = sorted(Counter((t, p, q) for _, t, p, q in rows).items(), key=lambda c: [(x is not None, x or "") for x in c[0]])  # nulls first, as Spark sorts
+    want = []
+    for b in range(100):
+        drawn = [(c, n) for (c, _), n in zip(cells, evaluation.draw_counts([n for _, n in cells], b), strict=True)]
+        want.append([macro([(c[0], c[m]) for c, n in drawn for _ in range(n)]) for m in (1, 2)])
+    got = [x.f1 for x in evaluation.resampled_f1(df, 100, preds_of=("pred_label", "other")).orderBy("b").collect()]
+    assert len(got) == 100 and all(g == pytest.approx(w) for g, w in zip(got, want, strict=True))
+    loops = [macro([rows[r.randrange(120)][1:3] for _ in range(120)]) for _ in range(1500)]
+    f1 = [x.f1[0] for x in evaluation.resampled_f1(df, 1500).collect()]
+    assert abs(statistics.mean(f1) - statistics.mean(loops)) < 0.008 and 0.85 < statistics.stdev(f1) / statistics.stdev(loops) < 1.15
+    ci = evaluation.bootstrap_ci(df, 1500).first()
+    assert ci.resamples == 1500 and ci.mean_f1 == pytest.approx(statistics.mean(f1))
+    s = sorted(f1)
+    for q, at in ((ci.ci_lower, 0.025 * 1499), (ci.ci_upper, 0.975 * 1499)):
+        assert q == pytest.approx(s[int(at)] + (at % 1) * (s[int(at) + 1] - s[int(at)]))
+    other = df.select("k", "true_label", F.col("other").alias("pred_label"))
+    pair = evaluation.paired_bootstrap(df, other, "k", 100).first()
+    assert pair.p_value == pytest.approx(1 - sum(round(x - y, 12) > 0 for x, y in want) / 100) and pair.delta_macro_f1 == pytest.approx(macro([x[1:3] for x in rows]) - macro([(x[1], x[3]) for x in rows]))
+    none = evaluation.bootstrap_ci(df.where("false"), 10).first()
+    assert none.resamples == 0 and none.mean_f1 is None
 
 
 def test_samples_and_folds_of_a_hot_label(spark):
