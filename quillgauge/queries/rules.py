@@ -102,13 +102,14 @@ def router_buckets(spark, d):
     return x.select("p_partkey", "bucket", "passed", "reject_reason", F.round("csr", 6).alias("csr"), F.round("cps", 6).alias("cps"), "ocs", "quality_tier", "mpqs_mode", F.array_join("flags", ",").alias("flags"), F.array_join("ocs_failed_constraints", ";").alias("failed"))
 
 
-ROUTER_BUCKETS = f"""
+ROUTER_ROWS = f"""
 WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ')[1] AS w1, string_split(p_name, ' ')[2] AS w2, p_partkey % 6 AS k FROM part),
 r AS (SELECT p_partkey, p_name AS c, k, CASE k WHEN 0 THEN replace(p_name, w1, 'OTHER') WHEN 1 THEN p_name WHEN 2 THEN '' WHEN 3 THEN replace(p_name, w1, '') WHEN 4 THEN replace(p_name, w2, 'ODD') ELSE '12345' END AS e,
   CASE k WHEN 4 THEN w2 ELSE w1 END AS kw, CASE k WHEN 3 THEN '[OMITTED]' WHEN 4 THEN 'ODD' ELSE 'OTHER' END AS bm, CASE k WHEN 3 THEN 'Total Omission' ELSE 'Spelling Error' END AS et FROM w),
 x AS (SELECT *, CASE WHEN e = '' THEN 'empty_field' WHEN trim(c) = trim(e) THEN 'identical_sentences' WHEN NOT regexp_matches(e, '[a-z]') THEN 'non_arabic' END AS fatal,
   {'CASE WHEN strpos(c, kw) > 0 THEN substr(c, 1, strpos(c, kw) - 1) || substr(c, strpos(c, kw) + length(kw)) ELSE c END'} AS cc,
-  {"CASE WHEN bm <> '[OMITTED]' AND strpos(e, bm) > 0 THEN substr(e, 1, strpos(e, bm) - 1) || substr(e, strpos(e, bm) + length(bm)) ELSE e END"} AS ee FROM r),
+  {"CASE WHEN bm <> '[OMITTED]' AND strpos(e, bm) > 0 THEN substr(e, 1, strpos(e, bm) - 1) || substr(e, strpos(e, bm) + length(bm)) ELSE e END"} AS ee FROM r),"""
+ROUTER_BUCKETS = ROUTER_ROWS + """
 y AS (SELECT *, CASE WHEN fatal IS NULL THEN 1 - levenshtein(c, e)::DOUBLE / greatest(length(c), length(e)) ELSE 0 END AS csr,
   CASE WHEN fatal IS NOT NULL THEN 0 WHEN trim(cc) = '' OR trim(ee) = '' THEN 0.9 ELSE 1 - levenshtein(cc, ee)::DOUBLE / greatest(length(cc), length(ee)) END AS cps FROM x),
 z AS (SELECT *, CASE WHEN fatal IS NULL AND cps < 0.55 THEN 'cps_below_floor' END AS reason,
@@ -200,8 +201,13 @@ def taxonomy_map_check(spark, d):
     return X.map_checks(t, wrong, t.select("group", F.col("class").alias("label")).where("class != 'Meaning Shift'")).select("check_id", "status", "n_bad")
 
 
-TAXONOMY_MAP_CHECK = """
-SELECT * FROM (VALUES ('L01', 'pass', 0), ('L02', 'pass', 0), ('L03', 'fail', 2), ('L04', 'pass', 0), ('P01', 'pass', 0), ('P02', 'pass', 0), ('P03', 'fail', 1), ('P04', 'fail', 1)) AS t(check_id, status, n_bad)"""
+TAXONOMY_MAP_CHECK = f"""
+WITH {CLASS_VALUES}, lab AS (SELECT class, CASE class WHEN 'Spelling Error' THEN 22 WHEN 'Invalid Pattern' THEN 21 ELSE label_id END AS id FROM tax), par AS (SELECT grp, class FROM tax WHERE class <> 'Meaning Shift'),
+l AS (SELECT count(id) AS n, count(label_id) AS m, count(*) FILTER (WHERE id IS NULL OR label_id IS NULL) AS k, count(*) FILTER (WHERE id <> label_id) AS d, count(DISTINCT id) AS u, min(id) AS lo, max(id) AS hi FROM lab FULL JOIN tax USING (class)),
+p AS (SELECT count(*) FILTER (WHERE par.grp IS DISTINCT FROM tax.grp) AS moved, count(*) FILTER (WHERE par.grp IS NULL) AS lost FROM tax LEFT JOIN par USING (class)),
+g AS (SELECT count(DISTINCT a.grp) AS a, count(DISTINCT b.grp) AS b, count(*) FILTER (WHERE a.grp IS NULL OR b.grp IS NULL) AS odd FROM (SELECT DISTINCT grp FROM par) a FULL JOIN (SELECT DISTINCT grp FROM tax) b USING (grp)),
+u AS (SELECT unnest(['L01', 'L02', 'L03', 'L04', 'P01', 'P02', 'P03', 'P04']) AS check_id, unnest([n = m, k = 0, d = 0, u = n AND lo = 0 AND hi = n - 1, a = b, odd = 0, moved = 0, lost = 0]) AS ok, unnest([0, k, d, 0, 0, odd, moved, lost]) AS n_bad FROM l, p, g)
+SELECT check_id, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status, n_bad FROM u"""
 
 
 def rubric_overview(spark, d):
