@@ -34,6 +34,8 @@ from .idstore import encoder
 
 WINDOW = 2048
 GROUP = 4096
+#: Groups that share a task, about 100 MB of ids, once the session's shuffle partitions would hold more.
+TASK = 16
 
 
 class Room:
@@ -161,7 +163,9 @@ def sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, pad_id: int = 0,
     cut = arrow_map(docs.select("doc_id", "text"), run, f"{PIECE}, ids binary")
     pieces = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups))).repartition("grp").sortWithinPartitions("grp", F.desc("length"), "doc_id", "start", "row")
+    tasks = -(-groups // TASK)
+    spread = (tasks, "grp") if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ("grp",)  # fewer are left to the session
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups))).repartition(*spread).sortWithinPartitions("grp", F.desc("length"), "doc_id", "start", "row")
     return arrow_map(dealt.select("grp", "doc_id", "start", "length", "doc_tokens", "ids"), _packer(pad_id, window), SEQUENCES)
 
 
