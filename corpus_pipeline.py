@@ -57,6 +57,9 @@ STAGES = [
     ("packing", packing),
 ]
 
+#: Bytes of a row group between stages: each task that reads a stage's texts holds one.
+ROW_GROUP_BYTES = 16 << 20
+
 #: Training, sketches and tokenisation are beyond SQL.
 ORACLE_SQL = None
 
@@ -67,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, f"stage{i}")
+            docs = written(docs, f"stage{i}", ROW_GROUP_BYTES)
     return docs

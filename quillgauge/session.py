@@ -36,13 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives lost executors.
 
-    Results are read from it lazily, so it stays; whoever names the folder clears it after the job.
+    A reader holds a row group's column at a time; ``row_group`` bounds its bytes.  Results are read from it lazily, so it stays; whoever names the folder clears it after the job.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -801,3 +801,20 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
     assert not {x.doc_id for x in got} & {1000, 1001, 1002, 1004} and {x.doc_id for x in got} >= {2, 5, 8}
     assert sum(x.doc_id == 2 and x.start == 0 for x in got) == 1 and sum(x.doc_id is None for x in got) == 1
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_pipeline_stage_tables_have_bounded_row_groups(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+    import pyarrow.parquet as pq
+
+    from quillgauge.session import written
+
+    rows = [(i, f"{i} " + " ".join(f"w{(i * 7919 + k * 104729) % 99991}" for k in range(150))) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    tables = []
+    monkeypatch.setattr(corpus_pipeline, "written", lambda *a: tables.append(written(*a)) or tables[-1])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("same", lambda s, docs, d: docs)] * 2)
+    monkeypatch.setattr(corpus_pipeline, "ROW_GROUP_BYTES", 1 << 18, raising=False)
+    assert sorted(corpus_pipeline.run(spark, str(tmp_path)).collect()) == rows
+    files = [f.removeprefix("file://") for f in tables[0].inputFiles()]
+    assert all(pq.ParquetFile(f).metadata.num_row_groups > 1 for f in files)
